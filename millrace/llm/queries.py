@@ -34,7 +34,7 @@ OP8_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
   FROM documents
 ), g AS (
   SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM (
@@ -47,8 +47,8 @@ WITH d AS (
          CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(k.n, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines,
-         len(list_filter(w, x -> x IN ({_stop_list()}))) AS n_stop_words,
-         len(list_filter(w, x -> regexp_matches(x, '[!?*#$%&~=_^]{{2,}}$'))) AS n_marked_words
+         len(list_filter(w, lambda x: x IN ({_stop_list()}))) AS n_stop_words,
+         len(list_filter(w, lambda x: regexp_matches(x, '[!?*#$%&~=_^]{{2,}}$'))) AS n_marked_words
   FROM d LEFT JOIN k ON d.r = k.r
 ), b AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
