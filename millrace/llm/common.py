@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,13 +79,27 @@ def map_texts(df: DataFrame, make: Callable[[pa.RecordBatch], list[pa.Array]], s
     return df.mapInArrow(run, schema)
 
 
-class Cache(dict):
-    """A dict that starts anew when it holds `most` entries; bounds what a worker remembers."""
-
-    def __init__(self, most: int = 300_000):
-        super().__init__()
-        self.most = most
-
-    def room(self, more: int) -> None:
-        if len(self) + more > self.most:
-            self.clear()
+class Recent:
+    """What a worker remembers of distinct strings: two generations of at most half of `most` entries each.
+
+    When the young one is full it becomes the old one, and what is asked for again moves back, so frequent strings
+    stay and rare ones go.
+    """
+
+    def __init__(self, most: int = 400_000):
+        self.most, self.young, self.old = most, {}, {}
+
+    def resolve(self, want: set[str], make: Callable[[list[str]], Iterable]) -> dict:
+        """The value of each string; make gives those of unknown ones, in order."""
+        missing = want - self.young.keys()
+        back = missing & self.old.keys()
+        new = list(missing - back)
+        fresh = {w: self.old[w] for w in back}
+        fresh.update(zip(new, make(new), strict=True))
+        young = self.young
+        found = {w: young[w] for w in want - missing}
+        found.update(fresh)
+        if young and len(young) + len(fresh) > self.most // 2:
+            self.old, self.young = young, {}
+        self.young.update(fresh)
+        return found
