@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, quality, token_counts
-from .common import table
+from . import byte_bpe, orc_tokens, quality, secret_scan, token_counts
+from .common import scratch, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,15 +19,27 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "op6-orc")
+    orc_tokens.write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return orc_tokens.summary(spark, folder)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op5_byte_bpe": op5_byte_bpe,
+        "op6_orc_tokens": op6_orc_tokens,
         "op8_quality_rules": op8_quality_rules,
+        "op10_secret_scan": op10_secret_scan,
     }
 
 
