@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, orc_tokens, quality, secret_scan, token_counts
+from . import byte_bpe, orc_tokens, quality, secret_scan, token_counts, wacz
 from .common import scratch, table
 
 
@@ -25,6 +25,12 @@ def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.summary(spark, folder)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = wacz.write_archives(table(spark, sf_dir, "pages"), scratch(spark, "op7-wacz"))
+    read = wacz.read_archives(manifest, payloads=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
@@ -38,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_orc_tokens": op6_orc_tokens,
+        "op7_warc": op7_warc,
         "op8_quality_rules": op8_quality_rules,
         "op10_secret_scan": op10_secret_scan,
     }
@@ -45,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_warc": OP7_SQL,
         "op8_quality_rules": OP8_SQL,
     }
 
@@ -53,6 +61,19 @@ def _stop_list() -> str:
     return ", ".join(f"'{w}'" for w in quality.STOP_FORMS)
 
 
+OP7_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS leader
+  FROM pages
+)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST((CAST('0x' || substr(x, CAST(k // 4 * 5 + 1 AS BIGINT), 5) AS INTEGER) // CAST(pow(32, 3 - k % 4) AS INTEGER)) % 32 + 1 AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN leader IS NOT NULL AND leader IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN leader IS NOT NULL AND leader IS DISTINCT FROM page_id THEN leader END AS refers_to
+FROM p
+"""
+
 OP8_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
