@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, langid, orc_tokens, quality, secret_scan, token_counts, wacz
+from . import byte_bpe, langid, orc_tokens, quality, secret_scan, simhash, token_counts, wacz
 from .common import scratch, table
 
 
@@ -19,6 +19,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op3_language_id": op3_language_id,
+        "op4_simhash": op4_simhash,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_orc_tokens": op6_orc_tokens,
         "op7_warc": op7_warc,
