@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, langid, orc_tokens, quality, secret_scan, simhash, token_counts, wacz
+from . import byte_bpe, embed_dedup, langid, orc_tokens, quality, secret_scan, simhash, token_counts, wacz
 from .common import scratch, table
 
 
@@ -43,6 +43,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_orc_tokens": op6_orc_tokens,
         "op7_warc": op7_warc,
         "op8_quality_rules": op8_quality_rules,
+        "op9_embedding_dedup": op9_embedding_dedup,
         "op10_secret_scan": op10_secret_scan,
     }
 
