@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embed_dedup, langid, orc_tokens, quality, secret_scan, simhash, token_counts, wacz
+from . import byte_bpe, embed_dedup, langid, orc_tokens, packing, quality, secret_scan, simhash, token_counts, wacz
 from .common import scratch, table
 
 
@@ -15,6 +15,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
 
@@ -52,8 +56,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_token_counts": op1_token_counts,
+        "op2_best_fit_packing": op2_best_fit_packing,
         "op3_language_id": op3_language_id,
         "op4_simhash": op4_simhash,
         "op5_byte_bpe": op5_byte_bpe,
