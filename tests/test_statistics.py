@@ -1,0 +1,91 @@
+"""Estimates: the twelve expected cardinalities, and the text form."""
+
+import pytest
+
+from millrace.errors import QueryError
+from millrace.plans.statistics import Statistics
+
+# Relations with rows and distinct counts as the expected cardinalities presume.
+ROWS = {"supplier": 10000, "partsupp": 800000, "lineitem": 6001215, "orders": 1500000, "customer": 150000, "nation": 25, "part": 200000, "region": 5}
+ATTS = {
+    "supplier": {"s_suppkey": 10000, "s_nationkey": 25},
+    "partsupp": {"ps_suppkey": 10000, "ps_partkey": 200000},
+    "lineitem": {"l_orderkey": 1500000, "l_partkey": 200000, "l_returnflag": 3, "l_discount": 11, "l_shipmode": 7, "l_shipinstruct": 4},
+    "orders": {"o_orderkey": 1500000, "o_custkey": 150000},
+    "customer": {"c_custkey": 150000, "c_nationkey": 25, "c_mktsegment": 5},
+    "nation": {"n_nationkey": 25, "n_regionkey": 5, "n_name": 25},
+    "part": {"p_partkey": 200000, "p_size": 50, "p_name": 199996, "p_container": 40},
+    "region": {"r_regionkey": 5, "r_name": 5},
+}
+
+
+def known(*rels, aliases=()):
+    out = Statistics()
+    for rel in rels:
+        out.add_rel(rel, ROWS[rel])
+        for att, v in ATTS[rel].items():
+            out.add_att(rel, att, v)
+    for rel, alias in aliases:
+        out.copy_rel(rel, alias)
+    return out
+
+
+# (relations, aliases, [(predicate applied first, its relations)], predicate, its relations, expected, tolerance)
+CASES = [
+    (("lineitem",), (), [], "(l_returnflag = 'R') AND (l_discount < 0.04 OR l_shipmode = 'MAIL')", ["lineitem"], 857316, 5),
+    (("orders", "customer", "nation"), (), [("(c_custkey = o_custkey)", ["orders", "customer"])], "(c_nationkey = n_nationkey)", ["orders", "customer", "nation"], 1500000, 0.1),
+    (("supplier", "customer", "nation"), (("nation", "n1"), ("nation", "n2"), ("supplier", "s"), ("customer", "c")), [("(s.s_nationkey = n1.n_nationkey)", ["s", "n1"]), ("(c.c_nationkey = n2.n_nationkey)", ["c", "n2"])], "(n1.n_nationkey = n2.n_nationkey)", ["c", "s", "n1", "n2"], 60000000, 0.1),
+    (("part", "partsupp", "supplier", "nation", "region"), (("part", "p"), ("partsupp", "ps"), ("supplier", "s"), ("nation", "n"), ("region", "r")), [("(p.p_partkey=ps.ps_partkey) AND (p.p_size = 2)", ["p", "ps"]), ("(s.s_suppkey = ps.ps_suppkey)", ["s", "p", "ps"]), ("(s.s_nationkey = n.n_nationkey)", ["s", "p", "ps", "n"])], "(n.n_regionkey = r.r_regionkey) AND (r.r_name = 'AMERICA')", ["s", "p", "ps", "n", "r"], 3200, 0.1),
+    (("customer", "orders", "lineitem"), (), [("(c_mktsegment = 'BUILDING') AND (c_custkey = o_custkey) AND (o_orderdate < '1995-03-1')", ["customer", "orders"])], "(l_orderkey = o_orderkey)", ["customer", "orders", "lineitem"], 400081, 0.5),
+    (("partsupp", "supplier", "nation"), (), [("(s_suppkey = ps_suppkey)", ["partsupp", "supplier"])], "(s_nationkey = n_nationkey) AND (n_name = 'AMERICA')", ["partsupp", "supplier", "nation"], 32000, 0.1),
+    (("orders", "lineitem"), (), [], "(l_receiptdate > '1995-02-01') AND (l_orderkey = o_orderkey)", ["orders", "lineitem"], 2000405, 0.1),
+    (("part", "partsupp"), (), [], "(p_partkey=ps_partkey) AND (p_size =3 OR p_size=6 OR p_size =19)", ["part", "partsupp"], 48000, 0.1),
+    (("part", "partsupp", "supplier"), (), [("(p_partkey=ps_partkey) AND (p_name = 'dark green antique puff wheat')", ["part", "partsupp"])], "(s_suppkey = ps_suppkey)", ["part", "partsupp", "supplier"], 4, 0.5),
+    (("customer", "orders", "lineitem", "nation"), (), [("(c_custkey = o_custkey) AND (o_orderdate > '1994-01-23')", ["customer", "orders"]), ("(l_orderkey = o_orderkey)", ["customer", "orders", "lineitem"])], "(c_nationkey = n_nationkey)", ["customer", "orders", "lineitem", "nation"], 2000405, 0.5),
+    (("part", "lineitem"), (), [], "(l_partkey = p_partkey) AND (l_shipmode = 'AIR' OR l_shipmode = 'AIR REG') AND (p_container ='SM BOX' OR p_container = 'SM PACK') AND (l_shipinstruct = 'DELIVER IN PERSON')", ["part", "lineitem"], 21432.9, 0.5),
+]
+
+
+@pytest.mark.parametrize("rels,aliases,before,cnf,over,expected,tolerance", CASES)
+def test_expected_cardinalities(rels, aliases, before, cnf, over, expected, tolerance):
+    stats = known(*rels, aliases=aliases)
+    for step, some in before:
+        stats.apply(step, some)
+    assert abs(stats.estimate(cnf, over) - expected) <= tolerance
+
+
+def test_statistics_survive_text(tmp_path):
+    stats = known("supplier", "partsupp")
+    over = ["supplier", "partsupp"]
+    joined = stats.estimate("(s_suppkey = ps_suppkey)", over)
+    assert abs(joined - 800000) < 0.1
+    stats.apply("(s_suppkey = ps_suppkey)", over)
+    stats.write(tmp_path / "stats.txt")
+    again = Statistics.read(tmp_path / "stats.txt")
+    assert str(again) == str(stats)
+    assert abs(again.estimate("(s_suppkey > 1000)", over) * 3 - joined) < 0.1
+
+
+def test_bookkeeping():
+    stats = known("nation")
+    stats.add_rel("nation", 30)
+    stats.add_att("nation", "all", -1)
+    assert stats.groups["nation"].distinct["all"] == 30 and stats.groups["nation"].distinct["n_name"] == 25
+    stats.copy_rel("nation", "n1")
+    assert stats.relation_of("n1.n_name") == "n1" and stats.relation_of("n1.other") == "n1" and stats.relation_of("zz") is None
+    assert stats.partition_of(["nation", "n1"]) == ["nation", "n1"]
+    stats.remove_rel("n1")
+    for bad in (lambda: stats.partition_of(["n1"]), lambda: stats.add_att("zz", "a", 1), lambda: stats.estimate("(1 = n_name)", ["nation"])):
+        with pytest.raises(QueryError):
+            bad()
+
+
+def test_ranges_of_one_column_are_apart_across_conjuncts():
+    stats = known("lineitem")
+    assert abs(stats.estimate("(l_discount > 0.01) AND (l_discount < 0.05)", ["lineitem"]) - ROWS["lineitem"] / 9) < 1
+
+
+def test_collected(spark):
+    stats = Statistics()
+    stats.collect("t", spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "k long, s string"), exact=True)
+    assert stats.groups["t"].rows == 3 and stats.groups["t"].distinct == {"k": 3, "s": 2}
