@@ -12,7 +12,8 @@ from .catalog import TYPES, TableInfo, columns_of
 
 #: Where a heap keeps the order in which its rows came: the load, the place of the split in its file, the row.
 ORDINAL = ("_load", "_split", "_row")
-_ZERO = {"int": 0, "double": 0.0, "string": ""}
+#: What an empty field stands for.
+ZERO = {"int": 0, "double": 0.0, "string": ""}
 
 
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType, ordered: bool = False) -> DataFrame:
@@ -23,7 +24,7 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType, ordered
     kinds = dict(columns_of(schema))
     wide = T.StructType([*schema.fields, T.StructField("_end", T.StringType())])
     raw = spark.read.schema(wide).option("sep", "|").option("quote", "").option("mode", "FAILFAST").csv(path)
-    columns = [F.coalesce(F.col(f"`{f.name}`"), F.lit(_ZERO[kinds[f.name]]).cast(f.dataType)).alias(f.name) for f in schema.fields]
+    columns = [F.coalesce(F.col(f"`{f.name}`"), F.lit(ZERO[kinds[f.name]]).cast(f.dataType)).alias(f.name) for f in schema.fields]
     place = [F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_row")] if ordered else []
     return raw.select(*columns, *place)
 

@@ -13,7 +13,17 @@ from pyspark.sql import functions as F
 
 from millrace.session import Engine
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+# The tables' columns.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+}
+TABLES = list(SCHEMAS)
 FLAGSHIP = "group_by_join"
 
 #: name -> statement
@@ -72,7 +82,7 @@ def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of a suite query over the tables of sf_dir."""
     engine = Engine(spark)
     text = STATEMENTS[name]
-    engine.register_folder(sf_dir, [t for t in TABLES if f" {t} AS " in text])
+    engine.register_folder(sf_dir, [t for t in TABLES if f" {t} AS " in text], SCHEMAS)
     frame = engine.sql(text)
     if frame.columns[0] == "sum" and dict(frame.dtypes)["sum"] == "double":
         frame = frame.withColumn("sum", F.round("sum", 2))
