@@ -84,11 +84,11 @@ class Recent:
     """What a worker remembers of distinct strings: two generations of at most half of `most` entries each.
 
     When the young one is full it becomes the old one, and what is asked for again moves back, so frequent strings
-    stay and rare ones go.
+    stay and rare ones go. Strings of more than `longest` characters are not remembered, which bounds the memory.
     """
 
-    def __init__(self, most: int = 400_000):
-        self.most, self.young, self.old = most, {}, {}
+    def __init__(self, most: int = 400_000, longest: int = 64):
+        self.most, self.longest, self.young, self.old = most, longest, {}, {}
 
     def resolve(self, want: set[str], make: Callable[[list[str]], Iterable]) -> dict:
         """The value of each string; make gives those of unknown ones, in order."""
@@ -100,6 +100,7 @@ class Recent:
         young = self.young
         found = {w: young[w] for w in want - missing}
         found.update(fresh)
+        fresh = {w: v for w, v in fresh.items() if len(w) <= self.longest}
         if young and len(young) + len(fresh) > self.most // 2:
             self.old, self.young = young, {}
         self.young.update(fresh)

@@ -114,6 +114,8 @@ def test_recent_forgets_rare_strings_only():
     for k in range(30):
         recent.resolve({"often", f"rare{k}"}, lambda new: made.extend(new) or [n.upper() for n in new])
     assert made.count("often") == 1 and len(recent.young) + len(recent.old) <= 12
+    recent.resolve({"x" * 100}, lambda new: ["y"])
+    assert "x" * 100 not in recent.young
     assert recent.resolve({"often", "new"}, lambda new: [n.upper() for n in new]) == {"often": "OFTEN", "new": "NEW"}
 
 
