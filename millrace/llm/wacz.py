@@ -248,6 +248,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
     payload_bytes and payload_digest are those of the payload for responses, and what the headers say for revisits.
     """
     names = [f.split()[0] for f in RECORDS.split(", ")]
+    tasks = manifest.agg(F.sum(F.ceil(F.col("records") / SLICE))).first()[0] or 1  # rows of slices are tiny: by their bytes, one task would read all
     slices = manifest.where("records > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("records") - 1, F.lit(SLICE).cast("long"))).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +271,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                             rows, held = [], 0
                     yield _batch(rows, names)
 
-    return slices.repartition(F.col("path"), F.col("first")).mapInArrow(run, RECORDS)
+    return slices.repartition(int(tasks), "path", "first").mapInArrow(run, RECORDS)
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
