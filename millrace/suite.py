@@ -1,17 +1,22 @@
-"""The registered relational queries: statements of the dialect, and DuckDB SQL for the same rows.
+"""The registered relational queries: statements of the dialect, operators and storage, and DuckDB SQL for the same rows.
 
 Sums of doubles are rounded to cents on both sides, as the order of a parallel sum shows in the last bits.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators import relational as ops
 from millrace.session import Engine
+from millrace.sources.catalog import TableInfo, columns_of
+from millrace.sources.tables import Store, read_delimited, write_delimited
 
 # The tables' columns.
 SCHEMAS = {
@@ -89,9 +94,83 @@ def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame
 
 
+def _frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def sort_descending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order, by price and key, largest first."""
+    return ops.project(ops.sort(_frame(spark, sf_dir, "orders"), ["o_totalprice", "o_orderkey"], ascending=False), ["o_orderkey", "o_totalprice"])
+
+
+def project_with_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.project(_frame(spark, sf_dir, "lineitem"), ["l_linestatus", "l_returnflag"])
+
+
+def delimited_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as bar-delimited text and read back."""
+    folder, customers = _scratch(spark, "delimited"), _frame(spark, sf_dir, "customer")
+    write_delimited(customers, folder)
+    return read_delimited(spark, folder, customers.schema)
+
+
+def heap_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers loaded into a heap from text, twice, and scanned."""
+    folder, suppliers, store = _scratch(spark, "heap"), _frame(spark, sf_dir, "supplier"), Store(spark)
+    write_delimited(suppliers, f"{folder}/text")
+    heap = TableInfo("supplier", columns_of(suppliers.schema), f"{folder}/heap.parquet")
+    store.create(heap)
+    store.load(heap, f"{folder}/text")
+    store.load(heap, f"{folder}/text")
+    return ops.select_pipe(store.scan(heap), "(s_nationkey < 12)")
+
+
+def sorted_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts merged into a table sorted on size and brand, and those of one size found by its key."""
+    folder, parts, store = _scratch(spark, "sorted"), _frame(spark, sf_dir, "part"), Store(spark)
+    table = TableInfo("part", columns_of(parts.schema), f"{folder}/part.parquet", ("p_size", "p_brand"))
+    store.create(table)
+    store.append(table, parts.where("p_partkey % 2 = 0"))
+    store.append(table, parts.where("p_partkey % 2 = 1"))
+    return ops.select_pipe(store.scan(table), "(p_size = 7)").select("p_partkey", "p_name", "p_brand")
+
+
+def written_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier rows as the text output writes them."""
+    folder = _scratch(spark, "lines")
+    ops.write_out(_frame(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal"), folder)
+    return spark.read.text(folder)
+
+
+def reordered_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four-way join in the order that estimates choose."""
+    engine = Engine(spark, reorder=True)
+    engine.register_folder(sf_dir, ["customer", "orders", "nation", "region"], SCHEMAS)
+    return engine.sql(STATEMENTS["join_4way"])
+
+
+#: name -> (query, DuckDB SQL)
+OPERATORS = {
+    "sort_descending": (sort_descending, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC"),
+    "project_with_duplicates": (project_with_duplicates, "SELECT l_linestatus, l_returnflag FROM lineitem"),
+    "delimited_round_trip": (delimited_round_trip, "SELECT * FROM customer"),
+    "heap_load": (heap_load, "SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal FROM (FROM supplier UNION ALL FROM supplier) WHERE s_nationkey < 12"),
+    "sorted_lookup": (sorted_lookup, "SELECT p_partkey, p_name, p_brand FROM part WHERE p_size = 7"),
+    "written_lines": (written_lines, "SELECT 's_suppkey: [' || s_suppkey || '], s_name: [' || s_name || '], s_acctbal: [' || printf('%.6f', s_acctbal) || ']' AS value FROM supplier"),
+    "reordered_join": (reordered_join, STATEMENTS["join_4way"]),
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: partial(run, name) for name in STATEMENTS}
+    return {name: partial(run, name) for name in STATEMENTS} | {name: query for name, (query, _) in OPERATORS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: f"{HEADS[name]} {text[text.index('FROM') :]}" if name in HEADS else text for name, text in STATEMENTS.items()}
+    statements = {name: f"{HEADS[name]} {text[text.index('FROM') :]}" if name in HEADS else text for name, text in STATEMENTS.items()}
+    return statements | {name: sql for name, (_, sql) in OPERATORS.items()}

@@ -89,3 +89,12 @@ def test_collected(spark):
     stats = Statistics()
     stats.collect("t", spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "k long, s string"), exact=True)
     assert stats.groups["t"].rows == 3 and stats.groups["t"].distinct == {"k": 3, "s": 2}
+
+
+def test_standard_statistics():
+    from millrace.plans.standard import standard_statistics
+
+    stats = standard_statistics()
+    assert len(stats.groups) == 8 and stats.groups["lineitem"].rows == 6001215
+    assert abs(stats.estimate("(l_returnflag = 'R')", ["lineitem"]) - 6001215 / 3) < 1
+    assert stats.estimate("(l_receiptdate = '1995-01-01')", ["lineitem"]) == 6001215  # no division by zero

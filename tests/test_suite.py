@@ -18,7 +18,7 @@ def duck():
     return connection
 
 
-@pytest.mark.parametrize("name", suite.STATEMENTS)
+@pytest.mark.parametrize("name", suite.queries())
 def test_query_equals_its_sql(spark, duck, name):
     found = suite.queries()[name](spark, DATA)
     expected = duck.execute(suite.oracle_sql()[name])
