@@ -232,7 +232,7 @@ def kept_documents(docs: DataFrame, distance: int = 3) -> DataFrame:
     Documents without an id are kept.
     """
     keys = written(near_duplicates(docs, distance).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n")), "simhash-kept")
-    kept = docs.join(keys.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    kept = docs.join(keys.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)  # the ids grow with the documents
     if not keys.where("_n > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id IS NULL"))
