@@ -9,10 +9,26 @@ from .common import Recent
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _RUNS = re.compile(r"\s\s")
+_MARKS = re.compile("[\u0300-\u036f]")
+#: Signs that end a run of letters in every pattern; apostrophes, which may begin a match with letters, aren't among them.
+_STOPS = ".,;:!?"
+
+
+def _unstopped(parts: list[str]) -> list[str]:
+    """parts with the stops after a word cut from it: between a letter and a stop, tokenizers always cut."""
+    out = []
+    for part in parts:
+        if part and part[-1] in _STOPS:
+            word = part.rstrip(_STOPS)
+            if word and word[-1].isalpha():
+                out.append(word)
+                part = part[len(word) :]
+        out.append(part)
+    return out
 
 
 def spaced_chunks(text: str) -> list[str]:
-    """Pieces that start at a single space between two other characters and join to the text again.
+    """Pieces that start at a single space between two other characters, or at a word's stops, and join to the text again.
 
     Byte-level patterns take such a space as the first character of a match, so a match never spans the cut.
     """
@@ -22,18 +38,23 @@ def spaced_chunks(text: str) -> list[str]:
         parts = _SAFE.split(text)
     else:
         parts = text.split(" ")
-    return [parts[0], *[" " + p for p in parts[1:]]]
+    return _unstopped([parts[0], *[" " + p for p in parts[1:]]])
 
 
-def bare_chunks(text: str) -> list[str]:
-    """Pieces between ASCII blanks and line ends, for tokenizers that drop white space."""
-    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+def folded_chunks(text: str) -> list[str]:
+    """Pieces between ASCII blanks and line ends, in lower case, for tokenizers that drop white space and case.
+
+    Only A to Z are folded here, and not where combining marks could compose with them; the tokenizer does the rest.
+    """
+    if not _MARKS.search(text):
+        text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+    return _unstopped(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
 
 
 class Encoder:
     """ids of texts by chunks: encode_all gives the ids of unseen chunks as little-endian 32-bit bytes."""
 
-    def __init__(self, cut: Callable[[str], list[str]], encode_all: Callable[[list[str]], Iterable[bytes]], most: int = 400_000):
+    def __init__(self, cut: Callable[[str], list[str]], encode_all: Callable[[list[str]], Iterable[bytes]], most: int = 800_000):
         self.cut, self.encode_all, self.seen = cut, encode_all, Recent(most)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -43,8 +64,43 @@ class Encoder:
         return [b"".join(map(get, c)) for c in cuts]
 
 
-def library_encoder(path: str, cut: Callable[[str], list[str]]) -> Encoder:
-    """An Encoder by the tokenizers library; strings of special tokens in a text are ordinary text."""
+def _byte_alphabet() -> dict[int, str]:
+    """The printable character that byte-level tokenizers write for each byte: itself where it is one, else from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(others)) for b in range(256)}
+
+
+_ALPHABET = _byte_alphabet()
+
+
+def spaced_word(chunk: str) -> str | None:
+    """A chunk of letters, with or without a space before them, as the model of a byte-level tokenizer takes it."""
+    if (chunk[1:] if chunk[0] == " " else chunk).isalpha():
+        return chunk.encode().decode("latin-1").translate(_ALPHABET)
+    return None
+
+
+def folded_word(chunk: str) -> str | None:
+    """The same for tokenizers that fold case: lower-case Latin letters without marks are what they fold to."""
+    if chunk.isalpha() and chunk.islower() and max(chunk) < "\u0180":
+        return chunk.encode().decode("latin-1").translate(_ALPHABET)
+    return None
+
+
+#: How texts are cut for a kind of tokenizer, which chunks its model can take as they are, and words to try that on.
+KINDS = {
+    "spaced": (spaced_chunks, spaced_word, ("the", " the", " Straße", "über", " naïveté", " X", " zzyzxq", " 日本")),
+    "folded": (folded_chunks, folded_word, ("the", "straße", "über", "naïveté", "x", "zzyzxq")),
+}
+
+
+def library_encoder(path: str, kind: str) -> Encoder:
+    """An Encoder by the tokenizers library; strings of special tokens in a text are ordinary text.
+
+    Chunks that neither the normaliser nor the pre-tokenizer would change go to the library's model directly, if
+    trying that on some words gives what the whole tokenizer does.
+    """
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -53,12 +109,26 @@ def library_encoder(path: str, cut: Callable[[str], list[str]]) -> Encoder:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
+    model = tokenizer.model
+    cut, word_of, words = KINDS[kind]
+    direct = all([t.id for t in model.tokenize(word_of(w))] == tokenizer.encode(w, add_special_tokens=False).ids for w in words)
 
     def encode_all(chunks: list[str]) -> list[bytes]:
-        out = []
-        for k in range(0, len(chunks), 4096):
-            out += [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(chunks[k : k + 4096], add_special_tokens=False)]
-        return out
+        found: list[list[int]] = [[]] * len(chunks)
+        rest = []
+        for k, chunk in enumerate(chunks):
+            word = word_of(chunk) if direct and chunk else None
+            if word is None:
+                rest.append(k)
+            else:
+                found[k] = [t.id for t in model.tokenize(word)]
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
+            for k, encoded in zip(some, tokenizer.encode_batch_fast([chunks[k] for k in some], add_special_tokens=False), strict=True):
+                found[k] = encoded.ids
+        ends = np.cumsum([0, *map(len, found)]).tolist()
+        raw = np.array([i for ids in found for i in ids], "<u4").tobytes()
+        return [raw[4 * i : 4 * j] for i, j in zip(ends, ends[1:])]
 
     return Encoder(cut, encode_all)
 
@@ -67,7 +137,7 @@ _encoders: dict[tuple[str, str], Encoder] = {}
 
 
 def shared_encoder(path: str, kind: str) -> Encoder:
-    """This worker's encoder of a tokenizers file; kind: "spaced" for byte-level ones, "bare" where blanks are dropped."""
+    """This worker's encoder of a tokenizers file; kind: "spaced" for byte-level ones, "folded" where blanks and case are dropped."""
     if (path, kind) not in _encoders:
-        _encoders[path, kind] = library_encoder(path, {"spaced": spaced_chunks, "bare": bare_chunks}[kind])
+        _encoders[path, kind] = library_encoder(path, kind)
     return _encoders[path, kind]

@@ -37,7 +37,7 @@ _NAMES = [f.split()[0] for f in _STATE.split(", ")]
 _TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
 
-def pieces(docs: DataFrame, tokenizer: str, kind: str = "bare", capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, kind: str = "folded", capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of each piece of each document."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     end = np.array([end_id], "<u4").tobytes()
@@ -146,5 +146,5 @@ def pack(found: DataFrame, capacity: int = 2048) -> DataFrame:
     return placed.select("doc_id", "piece", "start", F.col("size").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "bare", capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "folded", capacity: int = 2048, end_id: int = 0) -> DataFrame:
     return pack(pieces(docs, tokenizer, kind, capacity, end_id), capacity)
