@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
+import weakref
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one block of a Python operator holds at a time.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,11 +89,24 @@ class Recent:
     stay and rare ones go. Strings of more than `longest` characters are not remembered, which bounds the memory.
     """
 
+    #: All that a worker has, and the seconds after which one that isn't used forgets, so that a worker which goes on
+    #: to another operator doesn't hold the memory of both.
+    alive: weakref.WeakSet[Recent] = weakref.WeakSet()
+    idle_s = 15
+
     def __init__(self, most: int = 400_000, longest: int = 64):
-        self.most, self.longest, self.young, self.old = most, longest, {}, {}
+        self.most, self.longest, self.young, self.old, self.used = most, longest, {}, {}, 0.0
+        Recent.alive.add(self)
+
+    def _use(self) -> None:
+        now = self.used = time.monotonic()
+        for other in list(Recent.alive):
+            if now - other.used > Recent.idle_s and (other.young or other.old):
+                other.young, other.old = {}, {}
 
     def resolve(self, want: set[str], make: Callable[[list[str]], Iterable]) -> dict:
         """The value of each string; make gives those of unknown ones, in order."""
+        self._use()
         missing = want - self.young.keys()
         back = missing & self.old.keys()
         new = list(missing - back)

@@ -83,7 +83,7 @@ class Vocabulary:
             self.keys[tried], self.columns[tried] = keys[put], put
             left = np.setdiff1d(left, put, assume_unique=True)
             slots[left] = (slots[left] + 1) & self.mask
-        self.words = Encoder(words_of, self._columns_of)
+        self.words = Encoder(words_of, self._columns_of, 200_000)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * _MIX) >> self.shift).astype(np.int64)
