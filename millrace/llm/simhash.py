@@ -55,12 +55,12 @@ def fingerprint(text: str | None, words: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a signed long)."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
 
     def make(block: pa.RecordBatch) -> list[pa.Array]:
-        found = np.array([fingerprint(t) for t in block.column("text").to_pylist()], np.uint64)
+        found = np.array([fingerprint(t, words) for t in block.column("text").to_pylist()], np.uint64)
         return [block.column("doc_id"), pa.array(found.view(np.int64))]
 
     return map_texts(slim, make, "doc_id long, fp long")
@@ -215,9 +215,9 @@ def verified(table: pa.Table, at: np.ndarray, distance: int) -> tuple[np.ndarray
     return np.concatenate(left), np.concatenate(right)
 
 
-def near_duplicates(docs: DataFrame, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = 3, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the least id reachable over links) of each document."""
-    marked = written(fingerprints(docs, id_col, text_col), "simhash")
+    marked = written(fingerprints(docs, id_col, text_col, words), "simhash")
     classes = written(marked.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
     n, both = bit_counts(classes)
     found = components(links(classes, distance, plan(n, both, distance)), "simhash-components")
@@ -226,12 +226,17 @@ def near_duplicates(docs: DataFrame, distance: int = 3, id_col: str = "doc_id",
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def kept_documents(docs: DataFrame, distance: int = 3) -> DataFrame:
+def kept_documents(docs: DataFrame, distance: int = 3, words: int = SHINGLE) -> DataFrame:
     """One document of each component: the one of the least id, with all its columns; ids that repeat stay once.
 
     Documents without an id are kept.
     """
-    keys = written(near_duplicates(docs, distance).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n")), "simhash-kept")
+    return kept_of(docs, near_duplicates(docs, distance, words=words))
+
+
+def kept_of(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The documents whose doc_id is their component_id in marked, each once, and those without an id."""
+    keys = written(marked.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n")), "simhash-kept")
     kept = docs.join(keys.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)  # the ids grow with the documents
     if not keys.where("_n > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
