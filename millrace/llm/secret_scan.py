@@ -2,8 +2,9 @@
 
 Base spans come from three patterns (assign, access, hex). The method adds spans of kind "literal": a lexer reads
 strings, names and operators of source and configuration syntax into name-literal pairs ("a = 'x'", "a: x" in
-quotes, "a := x", "a => x", typed declarations, subscripts, environment lines, XML elements); constants propagate
-through names and concatenations; and each literal that reaches a sensitive name is scored by that name and by its
+quotes, "a := x", "a => x", typed declarations, subscripts, XML elements, and the unquoted rest of environment, INI,
+properties and YAML lines unless it names a constant or is code: a call, a subscript, or a dotted name without
+digits; after NAME= in capitals nothing counts as code); constants propagate through names and concatenations; and each literal that reaches a sensitive name is scored by that name and by its
 own length, entropy and kinds of characters. A literal that a base span covers adds none.
 
 Defined results: null and empty texts have no spans and the digest of the empty string; repeated rows are scanned
@@ -45,6 +46,11 @@ _LEX = re.compile(
     r"""|(?P<name>[A-Za-z_$][A-Za-z0-9_$-]*(?:\.[A-Za-z_$][A-Za-z0-9_$-]*)*)"""
     r"""|(?P<op>:=|=>|->|==|!=|<=|>=|[=:+,;()\[\]{}<>\n&|?])"""
 )
+#: A line that sets a name to something without quotes, where a comment starts in it, and values that are code.
+_LINE = re.compile(r"""^[ \t]*(?:-[ \t]+)?(?:(?:export|set|ENV)[ \t]+)?["']?([A-Za-z_][\w.-]*)["']?[ \t]*(?:[?:+]?=(?![=>])|:(?![:=]))[ \t]*([^\s"'`][^\n]*)""", re.MULTILINE)
+_COMMENT = re.compile(r"(?<=[ \t])(?:#|;|//)")
+_CODE = re.compile(r"(?:[A-Za-z_$]\w*(?:\.|->|::))*(?:[A-Za-z_$]\w*[(\[<].*[)\]>]|[A-Za-z_$]\w*)")
+_ENVIRONMENT = re.compile(r"[ \t]*(?:(?:export|set|ENV)[ \t]+)?[A-Z_][A-Z0-9_]*=")
 _ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*)>([^<>\n]{8,})</\1>")
 #: Score from which a literal is a secret: the name's weight plus up to 1 for the literal.
 LEAST_SCORE = 1.4
@@ -119,9 +125,31 @@ def pairs(text: str) -> list[tuple[str, list[Literal | str]]]:
             out.append((target, parts))
     for m in _ELEMENT.finditer(text):
         out.append((m[1], [(m.start(2), m.end(2))]))
+    lines = [(m, *_unquoted(m)) for m in _LINE.finditer(text)]
+    known = {target for target, _ in out} | {m[1] for m, _, _ in lines}
+    for m, start, end in lines:
+        value = text[start:end]
+        if value in known:
+            out.append((m[1], [value]))
+        elif _ENVIRONMENT.match(m[0]) or not _is_code(value):
+            out.append((m[1], [(start, end)]))
     return out
 
 
+def _unquoted(line: re.Match) -> tuple[int, int]:
+    """Where the value of a line stands, without a comment and the sign that ends it."""
+    value = line[2]
+    if comment := _COMMENT.search(value):
+        value = value[: comment.start()]
+    return line.start(2), line.start(2) + len(value.rstrip().rstrip(",;"))
+
+
+def _is_code(value: str) -> bool:
+    """Whether a value is a call, a subscript, or a dotted name without digits."""
+    found = _CODE.fullmatch(value)
+    return bool(found) and (value[-1] in ")]>" or not any(c.isdigit() for c in value))
+
+
 def literal_spans(text: str) -> list[tuple[str, int, int]]:
     """Literals that reach a sensitive name and score enough."""
     low = text.lower()
