@@ -5,7 +5,8 @@ strings, names and operators of source and configuration syntax into name-litera
 quotes, "a := x", "a => x", typed declarations, subscripts, XML elements, and the unquoted rest of environment, INI,
 properties and YAML lines unless it names a constant or is code: a call, a subscript, or a dotted name without
 digits; after NAME= in capitals nothing counts as code); constants propagate through names and concatenations; and each literal that reaches a sensitive name is scored by that name and by its
-own length, entropy and kinds of characters. A literal that a base span covers adds none.
+own length, entropy and kinds of characters. With white space it counts for authorization and connection strings by
+its longest part, after an auth scheme, and as a quoted passphrase of three words or more without it. A literal that a base span covers adds none.
 
 Defined results: null and empty texts have no spans and the digest of the empty string; repeated rows are scanned
 one by one; an empty table gives an empty result; other columns aren't read. Spans count code points, ends are
@@ -51,6 +52,9 @@ _LINE = re.compile(r"""^[ \t]*(?:-[ \t]+)?(?:(?:export|set|ENV)[ \t]+)?["']?([A-
 _COMMENT = re.compile(r"(?<=[ \t])(?:#|;|//)")
 _CODE = re.compile(r"(?:[A-Za-z_$]\w*(?:\.|->|::))*(?:[A-Za-z_$]\w*[(\[<].*[)\]>]|[A-Za-z_$]\w*)")
 _ENVIRONMENT = re.compile(r"[ \t]*(?:(?:export|set|ENV)[ \t]+)?[A-Z_][A-Z0-9_]*=")
+#: Schemes before credentials, and what asks for a passphrase rather than being one.
+_SCHEME = re.compile(r"\s*(?:bearer|basic|digest|token|negotiate|apikey)\s", re.IGNORECASE)
+_PROMPT = re.compile(r"(?i)\b(?:enter|passphrase|password|please)\b|[?:]\s*$")
 _ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*)>([^<>\n]{8,})</\1>")
 #: Score from which a literal is a secret: the name's weight plus up to 1 for the literal.
 LEAST_SCORE = 1.4
@@ -83,6 +87,16 @@ def literal_weight(value: str) -> float:
     return min(1.0, 0.4 * min(1.0, entropy / 3.5) + 0.15 * kinds + 0.2 * (n >= 16))
 
 
+def spaced_weight(name: str, value: str, quoted: bool) -> float:
+    """The same for a literal that holds white space: only some names take one, and what is scored depends on them."""
+    flat, parts = _SQUASH.sub("", name.lower()), value.split()
+    if "passphrase" in flat and quoted and len(parts) > 2 and not PLACEHOLDER.search(value) and not _PROMPT.search(value):
+        return literal_weight("".join(parts))
+    if "authorization" in flat or ("connectionstring" in flat and "=" in value):
+        return literal_weight(max(parts[1:] if _SCHEME.match(value) else parts, key=len, default=""))
+    return 0.0
+
+
 Literal = tuple[int, int]  # where it stands, without quotes
 
 
@@ -173,8 +187,12 @@ def literal_spans(text: str) -> list[tuple[str, int, int]]:
                 if part not in seen and part in constants:
                     seen.add(part)
                     todo += constants[part]
-            elif weight + literal_weight(text[part[0] : part[1]]) >= LEAST_SCORE:
-                out.add(("literal", *part))
+            else:
+                value = text[part[0] : part[1]]
+                spaced = any(c.isspace() for c in value)
+                score = spaced_weight(target, value, text[part[0] - 1 : part[0]] in ('"', "'", "`")) if spaced else literal_weight(value)
+                if weight + score >= LEAST_SCORE:
+                    out.add(("literal", *part))
     return sorted(out)
 
 
