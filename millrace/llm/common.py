@@ -55,6 +55,11 @@ def text_of(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def text_hash(name: str) -> Column:
+    """A hash of a text column that tells rows of one id apart."""
+    return F.xxhash64(text_of(name))
+
+
 def blocks(batch: pa.RecordBatch, column: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of batch with at most `most` bytes of text each (one row at least)."""
     start, held = 0, 0

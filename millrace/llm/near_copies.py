@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, text_of, written
+from .common import map_texts, text_hash, text_of, written
 from .components import components
 from .grouped import blocked, stars, whole_groups
 
@@ -129,42 +129,43 @@ def links(sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def marked_documents(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, cls (a hash of the set of shingles) and keys of each document."""
+    """doc_id, text_hash, cls (a hash of the set of shingles) and keys of each document."""
     from xxhash import xxh64_intdigest
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), text_hash(text_col).alias("text_hash"))
 
     def make(block: pa.RecordBatch) -> list[pa.Array]:
         sets = [shingles(t, words) for t in block.column("text").to_pylist()]
         cls = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
         keys = [keys_of(s) for s in sets]
         ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-        return [block.column("doc_id"), pa.array(cls), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))]
+        return [block.column("doc_id"), block.column("text_hash"), pa.array(cls), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))]
 
-    return map_texts(slim, make, "doc_id long, cls long, keys array<long>")
+    return map_texts(slim, make, "doc_id long, text_hash long, cls long, keys array<long>")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id and component_id (the least id reachable over links) of each document with an id."""
+def rooted_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, text_hash and root (the same for all of a component) of each document with an id."""
     marked = written(marked_documents(docs, words).where("doc_id IS NOT NULL"), "near-copies")
-    classes = written(marked.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "near-copies-classes")
+    least = F.min(F.struct("doc_id", "text_hash")).alias("k")
+    classes = written(marked.groupBy("cls").agg(least, F.first("keys").alias("keys")).select("cls", "k.*", "keys"), "near-copies-classes")
     grouped = components(candidates(classes), "near-copies-candidates")
-    wanted = classes.select("cls", "rep").join(grouped, F.col("cls") == F.col("node")).select("cls", "rep", "root")
-    slim = docs.select(F.col("doc_id").cast("long").alias("rep"), text_of("text").alias("text"))
-    texts = slim.join(wanted.hint("merge"), "rep").select("cls", "root", "text")  # the candidates grow with the documents
+    wanted = classes.select("cls", "doc_id", "text_hash").join(grouped, F.col("cls") == F.col("node")).select("cls", "doc_id", "text_hash", "root")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"), text_hash("text").alias("text_hash"))
+    texts = slim.join(wanted.hint("merge"), ["doc_id", "text_hash"]).select("cls", "root", "text").dropDuplicates(["cls"])  # the candidates grow with the documents
 
     def make(block: pa.RecordBatch) -> list[pa.Array]:
-        from xxhash import xxh64_intdigest
-
-        sets = [shingles(t, words) for t in block.column("text").to_pylist()]
-        # where an id repeats over different texts, each class takes the set that it was made of
-        own = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64) == block.column("cls").to_numpy()
-        kept = [s.view(np.int64) if o else np.zeros(0, np.int64) for s, o in zip(sets, own, strict=True)]
-        ends = np.cumsum([0, *map(len, kept)]).astype(np.int32)
-        return [block.column("cls"), block.column("root"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept)))]
+        found = [shingles(t, words) for t in block.column("text").to_pylist()]
+        ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        return [block.column("cls"), block.column("root"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))]
 
-    sets = written(map_texts(texts, make, "cls long, root long, shingles array<long>").where("size(shingles) > 0"), "near-copies-sets")
+    sets = written(map_texts(texts, make, "cls long, root long, shingles array<long>"), "near-copies-sets")
     found = components(links(sets, similarity), "near-copies-components")
-    rooted = classes.join(found, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("cls", "component_id")
-    return marked.select("doc_id", "cls").join(named, "cls").select("doc_id", "component_id")
+    return marked.join(found, F.col("cls") == F.col("node"), "left").select("doc_id", "text_hash", F.coalesce("root", "cls").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id (the least id of the component) of each document with an id."""
+    rooted = written(rooted_documents(docs, words, similarity), "near-copies-rooted")
+    named = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rooted.join(named, "root").select("doc_id", "component_id")

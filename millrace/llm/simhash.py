@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, text_of, written
+from .common import map_texts, text_hash, text_of, written
 from .components import components
 from .grouped import blocked, stars, whole_groups
 
@@ -56,14 +56,14 @@ def fingerprint(text: str | None, words: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long)."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    """doc_id, text_hash and fp (the fingerprint's bits as a signed long)."""
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), text_hash(text_col).alias("text_hash"))
 
     def make(block: pa.RecordBatch) -> list[pa.Array]:
         found = np.array([fingerprint(t, words) for t in block.column("text").to_pylist()], np.uint64)
-        return [block.column("doc_id"), pa.array(found.view(np.int64))]
+        return [block.column("doc_id"), block.column("text_hash"), pa.array(found.view(np.int64))]
 
-    return map_texts(slim, make, "doc_id long, fp long")
+    return map_texts(slim, make, "doc_id long, text_hash long, fp long")
 
 
 def bit_counts(classes: DataFrame) -> tuple[int, np.ndarray]:
@@ -227,17 +227,24 @@ def near_duplicates(docs: DataFrame, distance: int = 3, id_col: str = "doc_id",
 
 
 def kept_documents(docs: DataFrame, distance: int = 3, words: int = SHINGLE) -> DataFrame:
-    """One document of each component: the one of the least id, with all its columns; ids that repeat stay once.
+    """One document of each component of fingerprints: the one of the least id, with all its columns.
 
-    Documents without an id are kept.
+    Rows that repeat stay once; ids that repeat over different texts are told apart. Documents without an id are kept.
     """
-    return kept_of(docs, near_duplicates(docs, distance, words=words))
+    marked = written(fingerprints(docs, words=words).where("doc_id IS NOT NULL"), "simhash")
+    classes = written(marked.select("fp", F.col("fp").alias("rep")).distinct(), "simhash-classes")
+    n, both = bit_counts(classes)
+    found = components(links(classes, distance, plan(n, both, distance)), "simhash-components")
+    rooted = classes.join(found, classes.rep == found.node, "left").select("fp", F.coalesce("root", "rep").alias("root"))
+    return kept_of(docs, marked.join(rooted, "fp"))
 
 
 def kept_of(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """The documents whose doc_id is their component_id in marked, each once, and those without an id."""
-    keys = written(marked.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n")), "simhash-kept")
-    kept = docs.join(keys.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)  # the ids grow with the documents
-    if not keys.where("_n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    """The document of the least id of each root in marked (doc_id, text_hash, root), once, and those without an id."""
+    rows = marked.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    least = written(rows.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("k")).select("k.*"), "simhash-kept")
+    keys = least.select("doc_id", F.col("text_hash").alias("_text_hash"))
+    kept = docs.withColumn("_text_hash", text_hash("text")).join(keys.hint("merge"), ["doc_id", "_text_hash"], "left_semi")  # the ids grow with the documents
+    if not least.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "_text_hash"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

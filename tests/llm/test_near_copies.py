@@ -6,7 +6,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from millrace.llm import near_copies
+from millrace.llm import near_copies, simhash
 
 from .conftest import words
 from .test_dedup import roots
@@ -70,3 +70,11 @@ def test_pairs_at_the_threshold_share_a_key():
         some = draw.integers(0, 1 << 63, 100, np.uint64)
         met += bool((near_copies.keys_of(some[:90]) == near_copies.keys_of(some[10:])).any())
     assert met >= 998
+
+
+def test_ids_that_repeat_over_different_texts(spark):
+    one, two, three = (words(k, 200) for k in (1, 2, 3))
+    rows = [(1, one), (1, two), (1, two), (2, one), (2, three), (3, two), (None, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for kept in (simhash.kept_documents(docs), corpus_pipeline.simhash_near_dedup(spark, docs, "")):
+        assert Counter(map(tuple, kept.collect())) == Counter([(1, one), (1, two), (2, three), (None, one)])
