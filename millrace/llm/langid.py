@@ -1,11 +1,10 @@
 """Language identification with a string kernel.
 
 The kernel of two texts is the blended-spectrum presence kernel: how many distinct character n-grams (1 to 3, within
-words and their edges) both hold, divided by the root of the product of their own counts. It counts the n-grams that
-two landmarks hold at least; others tell landmarks apart rather than languages. A bounded sample of labelled texts is
-the training set; a part of it, spread over the languages, are Nystroem landmarks. A text's features are its kernel
-values against the landmarks times the inverse root of the landmarks' kernel matrix; one-versus-rest kernel ridge
-regression fits a weight column a language. Prediction is batched: n-gram presence rows of a block of texts times
+words and their edges) both hold, divided by the root of the product of their own counts, over the n-grams that any
+landmark holds. A bounded sample of labelled texts is the training set; a part of it, spread over the languages, are
+Nystroem landmarks. A text's features are its kernel values against the landmarks times the inverse root of the
+landmarks' kernel matrix; one-versus-rest kernel ridge regression fits a weight column a language. Prediction is batched: n-gram presence rows of a block of texts times
 the landmarks' presence matrix, then times the fitted matrix.
 
 The sample: for each language and each of BUCKETS hash buckets, the labelled text of the smallest hash, so at most
@@ -26,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Encoder
-from .common import map_texts
+from .common import Recent, map_texts
 
 UND = "und"
 #: Longest n-gram; 21 bits a character let three stand in 63 bits.
@@ -83,7 +81,7 @@ class Vocabulary:
             self.keys[tried], self.columns[tried] = keys[put], put
             left = np.setdiff1d(left, put, assume_unique=True)
             slots[left] = (slots[left] + 1) & self.mask
-        self.words = Encoder(words_of, self._columns_of, 200_000)
+        self.words = Recent(200_000)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * _MIX) >> self.shift).astype(np.int64)
@@ -117,8 +115,10 @@ class Vocabulary:
     def presence(self, texts: list[str]) -> np.ndarray:
         """A row of 0 and 1 over the columns for each text."""
         rows = np.zeros((len(texts), self.size), np.float32)
-        for row, found in zip(rows, self.words.encode(texts), strict=True):
-            row[np.frombuffer(found, "<u4")] = 1
+        cuts = [words_of(t) for t in texts]
+        get = self.words.resolve(set().union(*cuts), self._columns_of).__getitem__
+        for row, cut in zip(rows, cuts, strict=True):
+            row[np.frombuffer(b"".join(map(get, cut)), "<u4")] = 1
         return rows
 
 
@@ -177,9 +177,7 @@ def fit(texts: list[str], labels: list[str]) -> Model:
             taken[y] = taken.get(y, 0) + 1
             marks.append(t)
     sets = [np.unique(grams(words_of(t))[0]) for t in marks]
-    keys, shared = np.unique(np.concatenate(sets), return_counts=True)
-    if len(marks) > 8:
-        keys = keys[shared > 1]  # an n-gram of one landmark alone tells the landmarks apart, not the languages
+    keys = np.unique(np.concatenate(sets))
     model = Model(languages, keys, np.zeros((len(keys), len(marks)), np.float32), np.zeros((len(marks), len(languages)), np.float32), np.zeros(len(languages), np.float32))
     for j, found in enumerate(sets):
         column = np.isin(keys, found, assume_unique=True)
@@ -209,7 +207,7 @@ def sample(docs: DataFrame, teaches: Column, text_col: str = "text", label_col:
     slim = slim.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), key.alias("key"))
     bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS))
     least = slim.groupBy("label", bucket.alias("bucket")).agg(F.min("key").alias("key"))
-    found = slim.join(F.broadcast(least.select("label", "key")), ["label", "key"])  # BUCKETS rows a language
+    found = slim.join(least.select("label", "key"), ["label", "key"])  # BUCKETS rows a language: Spark broadcasts them if they are few
     return found.groupBy("label", "key").agg(F.min("text").alias("text"))
 
 
@@ -253,13 +251,17 @@ def languages(docs: DataFrame) -> DataFrame:
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def kept_documents(docs: DataFrame, least_score: float = 0.4) -> DataFrame:
-    """The documents whose language is told with some certainty, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(fit_on(docs, F.lit(True))))
+def kept_documents(docs: DataFrame, least_score: float = 0.4, text_col: str = "text") -> DataFrame:
+    """The documents whose language is told with some certainty, with all their columns.
+
+    Texts that are null or have no letter go; without labelled texts all documents go. Ids aren't read, repeated rows
+    are judged alike, and an empty table stays empty. The model is fitted on the labelled texts of docs.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(fit_on(docs, F.lit(True), text_col)))
 
     def run(batches):
         for batch in batches:
-            labels, scores = _model(shared).predict(batch.column("text").to_pylist())
+            labels, scores = _model(shared).predict(batch.column(text_col).to_pylist())
             yield batch.filter(pa.array([y != UND and s >= least_score for y, s in zip(labels, scores, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
