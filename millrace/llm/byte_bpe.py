@@ -3,8 +3,9 @@
 A text is cut by the tokenizer's pattern; distinct matches are encoded once a worker. Their bytes stand in padded
 matrices of rows of like length, one row a match. Each round looks up the rank of every adjacent pair in a hashed
 table, every row merges its leftmost pair of minimum rank, and the rows move together over the gap; rows without
-a pair left are taken out. A match longer than LONG bytes would need as many rounds as it has merges, so it is
-merged alone by a heap over a linked list, which picks the same pairs in the same order.
+a pair left are taken out. Where the same pair stands in a row again, it merges there in the same round, unless one
+of these merges makes a pair of less rank, which would come before: so a row takes at most as many rounds as the
+vocabulary has merges, and matches of any length go the same way.
 
 Defined results: null and empty texts have no tokens and decode to nothing; repeated rows are encoded one by one;
 an empty table gives an empty result; only the id and text columns are read. Lone surrogates cannot occur in
@@ -15,20 +16,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Encoder, spaced_chunks
-from .common import Recent, map_texts
+from .chunks import Encoder, gathered, joined
+from .common import map_texts
 
-#: Matches of more bytes leave the matrices.
-LONG = 256
-#: Rows of one matrix.
-ROWS = 16384
+#: Rows and cells of one matrix at most; a longer match has one for itself.
+ROWS, CELLS = 16384, 1 << 18
 NONE = np.int32(2**31 - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -48,7 +46,6 @@ class PairTable:
                 a, b = ranks.get(token[:k]), ranks.get(token[k:])
                 if a is not None and b is not None:
                     pairs[a << 32 | b] = rank
-        self.pairs = pairs
         bits = max(4, (4 * max(1, len(pairs)) - 1).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys = np.full(1 << bits, -1, np.int64)
@@ -85,37 +82,36 @@ class PairTable:
 
 
 class ByteBpe:
-    def __init__(self, path: str, pattern: str, most: int = 300_000):
+    def __init__(self, path: str, pattern: str):
         import regex
 
         ranks = read_ranks(path)
         self.table = PairTable(ranks)
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.text_of = {rank: token for token, rank in ranks.items()}
-        self.pattern = regex.compile(pattern)
-        self.matches = Recent(most)
-        self.encoder = Encoder(spaced_chunks, self._encode_chunks, most)
+        self.tokens, starts, sizes = joined(sorted(ranks, key=ranks.get), unit=1)
+        self.starts, self.sizes = np.zeros(max(ranks.values()) + 1, np.int64), np.zeros(max(ranks.values()) + 1, np.int64)
+        self.starts[sorted(ranks.values())], self.sizes[sorted(ranks.values())] = starts, sizes
+        self.cut = regex.compile(pattern).findall
+        self.encoder = Encoder("spaced", self.merge_words, self._encode_chunks)
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        cuts = [self.pattern.findall(c) for c in chunks]
-        get = self.matches.resolve(set().union(*cuts), lambda new: self.merge_all([m.encode() for m in new])).__getitem__
+        cuts = [self.cut(c) for c in chunks]
+        words = list(set().union(*cuts))
+        get = dict(zip(words, self.merge_words(words))).__getitem__
         return [b"".join(map(get, c)) for c in cuts]
 
+    def merge_words(self, words: list[str]) -> list[bytes]:
+        return self.merge_all([w.encode() for w in words])
+
     def merge_all(self, raw: list[bytes]) -> list[bytes]:
         """ids of each byte string as little-endian 32-bit bytes."""
         out: list[bytes] = [b""] * len(raw)
-        todo = []
-        for k, token in enumerate(raw):
-            if len(token) > LONG:
-                out[k] = np.array(self.merge_long(token), "<u4").tobytes()
-            elif token:
-                todo.append(k)
-        todo.sort(key=lambda k: len(raw[k]))
+        todo = sorted((k for k, token in enumerate(raw) if token), key=lambda k: len(raw[k]))
         at = 0
         while at < len(todo):
             longest = max(8, len(raw[todo[at]]) * 5 // 4)
             rows = []
-            while at < len(todo) and len(rows) < max(64, min(ROWS, (1 << 18) // longest)) and len(raw[todo[at]]) <= longest:
+            while at < len(todo) and len(rows) < max(1, min(ROWS, CELLS // longest)) and len(raw[todo[at]]) <= longest:
                 rows.append(todo[at])
                 at += 1
             self._merge_rows([raw[k] for k in rows], rows, out)
@@ -124,64 +120,68 @@ class ByteBpe:
     def _merge_rows(self, raw: list[bytes], rows: list[int], out: list[bytes]) -> None:
         lengths = np.array([len(r) for r in raw], np.int64)
         width = int(lengths.max())
-        ids = np.full((len(raw), width + 1), -1, np.int32)
-        inside = np.arange(width)[None, :] < lengths[:, None]
-        ids[:, :width][inside] = self.single[np.frombuffer(b"".join(raw), np.uint8)]
+        ids = np.full((len(raw), width + 2), -1, np.int32)
+        ids[:, :width][np.arange(width)[None, :] < lengths[:, None]] = self.single[np.frombuffer(b"".join(raw), np.uint8)]
         index = np.array(rows)
-        ranks = self.table.look(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(raw), width)
+        ranks = np.full(ids.shape, NONE, np.int32)  # of the pair that begins at a place
+        ranks[:, :width] = self.table.look(ids[:, :width].ravel(), ids[:, 1 : width + 1].ravel()).reshape(len(raw), width)
         while True:
-            best = ranks.argmin(1)
-            value = np.take_along_axis(ranks, best[:, None], 1)[:, 0]
-            done = value == NONE
+            least = ranks.min(1)
+            done = least == NONE
             if done.any():
                 for k, row, n in zip(index[done], ids[done], lengths[done], strict=True):
                     out[k] = row[:n].astype("<u4").tobytes()
                 on = ~done
                 if not on.any():
                     return
-                index, ids, ranks, lengths, best, value = index[on], ids[on], ranks[on], lengths[on], best[on], value[on]
-            lengths = lengths - 1
-            width = int(lengths.max())
-            place = np.arange(width + 1)[None, :]
-            moved = place + (place > best[:, None])
-            ids = np.take_along_axis(ids, np.minimum(moved, ids.shape[1] - 1), 1)
-            line = np.arange(len(ids))
-            ids[line, best] = value
-            ids[place >= lengths[:, None]] = -1
-            ranks = np.take_along_axis(ranks, np.minimum(moved[:, :width], ranks.shape[1] - 1), 1)
-            ranks[place[:, :width] >= lengths[:, None] - 1] = NONE
-            after = np.minimum(best + 1, width)
-            renewed = self.table.look(np.concatenate([ids[line, best], ids[line, np.maximum(best - 1, 0)]]), np.concatenate([ids[line, after], ids[line, best]]))
-            inner = best < width
-            ranks[line[inner], best[inner]] = renewed[: len(ids)][inner]
-            later = best > 0
-            ranks[line[later], best[later] - 1] = renewed[len(ids) :][later]
-
-    def merge_long(self, raw: bytes) -> list[int]:
-        """The same merges one by one: the heap holds (rank, place), so equal ranks come leftmost first."""
-        pairs, n = self.table.pairs, len(raw)
-        ids = [int(self.single[b]) for b in raw]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(pairs[key], k) for k in range(n - 1) if (key := ids[k] << 32 | ids[k + 1]) in pairs]
-        heapq.heapify(heap)
-        while heap:
-            rank, k = heapq.heappop(heap)
-            if ids[k] < 0 or (j := after[k]) >= n or pairs.get(ids[k] << 32 | ids[j]) != rank:
-                continue
-            ids[k], ids[j] = rank, -1
-            after[k] = after[j]
-            if after[k] < n:
-                before[after[k]] = k
-            for left in (before[k], k):
-                if left >= 0 and after[left] < n and (new := pairs.get(ids[left] << 32 | ids[after[left]])) is not None:
-                    heapq.heappush(heap, (new, left))
-        return [i for i in ids if i >= 0]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+                index, ids, ranks, lengths, least = index[on], ids[on], ranks[on], lengths[on], least[on]
+            row, at = self._merged(ranks, least)
+            value = least[row]
+            chained = np.zeros(len(row), bool)  # the merge before this one ends where this one begins
+            chained[1:] = (row[1:] == row[:-1]) & (at[1:] == at[:-1] + 2)
+            before = np.where(chained, value, np.where(at > 0, ids[row, at - 1], -1))
+            left, right = np.split(self.table.look(np.concatenate([before, value]), np.concatenate([value, ids[row, at + 2]])), 2)
+            # Where a merge makes a pair of less rank, that pair comes next: such a row merges its leftmost pair alone.
+            early = np.unique(row[(left < value) | (right < value)])
+            if len(early):
+                first = np.append(True, row[1:] != row[:-1])
+                stay = first | ~np.isin(row, early)
+                row, at, value, chained, left, right = (x[stay] for x in (row, at, value, chained, left, right))
+            ids[row, at] = value
+            ranks[row, at] = right
+            later = at > 0
+            gone = np.zeros(ids.shape, bool)
+            gone[row, at + 1] = True
+            previous = np.where(chained, at - 2, at - 1)
+            ranks[row[later], previous[later]] = left[later]
+            lengths = lengths - np.bincount(row, minlength=len(ids))
+            ids, ranks = self._closed(ids, ranks, gone, lengths)
+
+    def _merged(self, ranks: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and places of the pairs of least rank, from the left and without overlaps."""
+        row, at = np.nonzero(ranks == least[:, None])
+        touching = np.zeros(len(row), bool)
+        touching[1:] = (row[1:] == row[:-1]) & (at[1:] == at[:-1] + 1)
+        if not touching.any():
+            return row, at
+        run = np.maximum.accumulate(np.where(touching, 0, np.arange(len(row))))
+        every_other = (np.arange(len(row)) - run) % 2 == 0
+        return row[every_other], at[every_other]
+
+    def _closed(self, ids: np.ndarray, ranks: np.ndarray, gone: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows moved together over the places that are gone."""
+        stays = (ids >= 0) & ~gone
+        room = np.arange(int(lengths.max()) + 2)[None, :] < lengths[:, None]
+        new_ids, new_ranks = np.full(room.shape, -1, np.int32), np.full(room.shape, NONE, np.int32)
+        new_ids[room], new_ranks[room] = ids[stays], ranks[stays]
+        return new_ids, new_ranks
+
+    def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and the offsets between texts."""
         return self.encoder.encode(texts)
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.text_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return gathered(self.tokens, self.starts[ids], self.sizes[ids]).tobytes()
 
 
 _coders: dict[tuple[str, str], ByteBpe] = {}
@@ -198,9 +198,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def make(block: pa.RecordBatch) -> list[pa.Array]:
-        found = coder(ranks, pattern).encode(block.column("text").to_pylist())
-        ends = np.cumsum([0, *(len(f) // 4 for f in found)]).astype(np.int32)
-        return [block.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))]
+        ids, ends = coder(ranks, pattern).encode(block.column("text"))
+        return [block.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view(np.int32)))]
 
     return map_texts(slim, make, "doc_id long, ids array<int>")
 
@@ -211,7 +210,7 @@ def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             bpe = coder(ranks, pattern)
-            rows = [None if ids is None else bpe.decode(np.asarray(ids, "<u4").tobytes()) for ids in batch.column("ids").to_pylist()]
+            rows = [None if ids is None else bpe.decode(np.asarray(ids, np.int64)) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "raw"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, raw binary")
@@ -223,12 +222,15 @@ def digests(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", t
 
     def make(block: pa.RecordBatch) -> list[pa.Array]:
         bpe = coder(ranks, pattern)
-        found = bpe.encode(block.column("text").to_pylist())
+        ids, ends = bpe.encode(block.column("text"))
+        raw, decoded, at = memoryview(ids.view(np.uint8)), [], ends.tolist()
+        for i, j in zip(at, at[1:]):
+            decoded.append(hashlib.sha256(bpe.decode(ids[i:j])).hexdigest())
         return [
             block.column("doc_id"),
-            pa.array([len(f) // 4 for f in found], pa.int64()),
-            pa.array([hashlib.sha256(f).hexdigest() for f in found]),
-            pa.array([hashlib.sha256(bpe.decode(f)).hexdigest() for f in found]),
+            pa.array(np.diff(ends)),
+            pa.array([hashlib.sha256(raw[4 * i : 4 * j]).hexdigest() for i, j in zip(at, at[1:])], pa.string()),
+            pa.array(decoded, pa.string()),
         ]
 
     return map_texts(slim, make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

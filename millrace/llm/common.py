@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import time
+import re
 import uuid
 import weakref
 from collections.abc import Callable, Iterable, Iterator
@@ -22,13 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder name in the shared folder that spark.checkpoint.dir names; where unset, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder name in the shared folder that spark.checkpoint.dir names.
+
+    Where that is unset, a local session uses a temporary folder; on a cluster machines would not share one, so that
+    is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("millrace.scratch.dir", None)
     if not base:
-        base = spark.conf.get("millrace.scratch.dir", None)
-        if not base:
-            base = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-            spark.conf.set("millrace.scratch.dir", base)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        import tempfile
+
+        base = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+        spark.conf.set("millrace.scratch.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -92,36 +97,49 @@ class Recent:
 
     When the young one is full it becomes the old one, and what is asked for again moves back, so frequent strings
     stay and rare ones go. Strings of more than `longest` characters are not remembered, which bounds the memory.
+    A worker goes on to another operator only with another stage, and then what the others remember is dropped.
     """
 
-    #: All that a worker has, and the seconds after which one that isn't used forgets, so that a worker which goes on
-    #: to another operator doesn't hold the memory of both.
+    #: All that a worker has, each with the stage that it was last used in.
     alive: weakref.WeakSet[Recent] = weakref.WeakSet()
-    idle_s = 15
 
     def __init__(self, most: int = 400_000, longest: int = 64):
-        self.most, self.longest, self.young, self.old, self.used = most, longest, {}, {}, 0.0
+        self.most, self.longest, self.young, self.old, self.stage = most, longest, {}, {}, None
         Recent.alive.add(self)
 
     def _use(self) -> None:
-        now = self.used = time.monotonic()
-        for other in list(Recent.alive):
-            if now - other.used > Recent.idle_s and (other.young or other.old):
-                other.young, other.old = {}, {}
-
-    def resolve(self, want: set[str], make: Callable[[list[str]], Iterable]) -> dict:
-        """The value of each string; make gives those of unknown ones, in order."""
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        stage = None if task is None else task.stageId()
+        if stage != self.stage:
+            self.stage = stage
+            for other in list(Recent.alive):
+                if other.stage != stage:
+                    other.young, other.old = {}, {}
+
+    def values(self, want: list[str], make: Callable[[list[str]], Iterable]) -> list:
+        """The value of each of some distinct strings; make gives those of unknown ones, in order."""
         self._use()
-        missing = want - self.young.keys()
-        back = missing & self.old.keys()
-        new = list(missing - back)
-        fresh = {w: self.old[w] for w in back}
-        fresh.update(zip(new, make(new), strict=True))
-        young = self.young
-        found = {w: young[w] for w in want - missing}
-        found.update(fresh)
-        fresh = {w: v for w, v in fresh.items() if len(w) <= self.longest}
-        if young and len(young) + len(fresh) > self.most // 2:
-            self.old, self.young = young, {}
+        out = list(map(self.young.get, want))
+        missing = [k for k, value in enumerate(out) if value is None]
+        fresh, new = {}, []
+        for k in missing:
+            value = self.old.get(want[k])
+            if value is None:
+                new.append(k)
+            else:
+                out[k] = fresh[want[k]] = value
+        for k, value in zip(new, make([want[k] for k in new]) if new else (), strict=True):
+            out[k] = value
+            if len(want[k]) <= self.longest:
+                fresh[want[k]] = value
+        if self.young and len(self.young) + len(fresh) > self.most // 2:
+            self.old, self.young = self.young, {}
         self.young.update(fresh)
-        return found
+        return out
+
+    def resolve(self, want: set[str], make: Callable[[list[str]], Iterable]) -> dict:
+        """The same for a set, by string."""
+        want = list(want)
+        return dict(zip(want, self.values(want, make), strict=True))

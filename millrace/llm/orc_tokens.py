@@ -5,8 +5,8 @@ shard, the ids before it in that shard, its count and its ids, so a reader finds
 stream from the shards' totals alone. Row indexes and Bloom filters on doc_id let lookups skip stripes and row
 groups; Spark splits large files at stripes, so they are read in parallel.
 
-Defined results: null and empty texts hold the end id alone; repeated ids lie beside each other, ordered by text;
-null ids come first; an empty table gives files without rows and an empty reading; other columns aren't read.
+Defined results: null and empty texts hold the end id alone; repeated ids lie in one range, in no
+particular order where it spans two shards; null ids come first; an empty table gives files without rows and an empty reading; other columns aren't read.
 Only the id and text columns are shuffled, once; cost and files are linear in the text.
 """
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import shared_encoder
+from .chunks import ended, shared_encoder
 from .common import blocks, text_of
 
 #: What the writer asks of ORC.
@@ -42,7 +42,6 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, kind: str = "spac
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     keys = (F.col("doc_id"), F.xxhash64("text"))
     spread = slim.repartitionByRange(parts, *keys) if parts else slim.repartitionByRange(*keys)
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -51,11 +50,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, kind: str = "spac
         encoder = shared_encoder(tokenizer, kind)
         for batch in batches:
             for block in blocks(batch):
-                found = [ids + end for ids in encoder.encode(block.column("text").to_pylist())]
-                sizes = np.array([len(ids) // 4 for ids in found], np.int64)
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(found), "<i4")))
-                yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(np.full(len(found), shard, np.int32)), pa.array(before + ends[:-1]), pa.array(sizes.astype(np.int32)), ids], names=_NAMES)
+                found, ends = ended(*encoder.encode(block.column("text")), end_id)
+                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(np.full(block.num_rows, shard, np.int32)), pa.array(before + ends[:-1]), pa.array(np.diff(ends).astype(np.int32)), ids], names=_NAMES)
                 before += int(ends[-1])
 
     encoded = spread.sortWithinPartitions("doc_id", "text").mapInArrow(run, _SCHEMA)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import shared_encoder
+from .chunks import ended, shared_encoder
 from .common import map_texts, text_of, written
 
 GAP, PIECE, PLACED = 0, 1, 2
@@ -40,20 +40,18 @@ _TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()
 def pieces(docs: DataFrame, tokenizer: str, kind: str = "folded", capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of each piece of each document."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    end = np.array([end_id], "<u4").tobytes()
 
     def make(block: pa.RecordBatch) -> list[pa.Array]:
-        found = [ids + end for ids in shared_encoder(tokenizer, kind).encode(block.column("text").to_pylist())]
-        row, piece, length, crc = [], [], [], []
-        for k, ids in enumerate(found):
-            for p, at in enumerate(range(0, len(ids), 4 * capacity)):
-                part = ids[at : at + 4 * capacity]
-                row.append(k)
-                piece.append(p)
-                length.append(len(part) // 4)
-                crc.append(zlib.crc32(part))
-        at = pa.array(piece, pa.int32())
-        return [block.column("doc_id").take(pa.array(row, pa.int64())), at, pa.array(np.array(piece, np.int64) * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+        ids, ends = ended(*shared_encoder(tokenizer, kind).encode(block.column("text")), end_id)
+        size, raw = np.diff(ends), memoryview(ids.view(np.uint8))
+        many = -(-size // capacity)
+        row = np.repeat(np.arange(len(size)), many)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        start = piece * capacity
+        length = np.minimum(capacity, size[row] - start)
+        at = (ends[row] + start) * 4
+        crc = [zlib.crc32(raw[i:j]) for i, j in zip(at.tolist(), (at + 4 * length).tolist())]
+        return [block.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
 
     return map_texts(slim, make, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

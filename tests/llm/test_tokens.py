@@ -39,9 +39,11 @@ def merges():
 
 @functools.cache
 def library(path):
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(path)
+
+
+#: All of Unicode, and what cuts, folds, composes or is an added token.
+UNICODE = st.lists(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from([*ALPHABET, "\u0130", "I", "\u0307", "\u0331", "K", "\u017f", "\x01", "\x1c", "\u200b", "\u3000", "\r", "'ll", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>"])), max_size=30).map("".join)
 
 
 @settings(max_examples=200, deadline=None)
@@ -72,18 +74,42 @@ def test_token_counts_over_odd_rows(unigram, odd_docs, odd_rows, no_docs):
 @given(st.text(ALPHABET, max_size=80))
 def test_merges_equal_the_library(merges, text):
     own, encoding = merges
-    raw = own.encode([text])[0]
-    assert np.frombuffer(raw, "<u4").tolist() == encoding.encode_ordinary(text)
-    assert own.decode(raw) == text.encode()
+    ids, offsets = own.encode([text, "", text])
+    assert ids.tolist() == encoding.encode_ordinary(text) * 2 and offsets.tolist() == [0, len(ids) // 2, len(ids) // 2, len(ids)]
+    assert own.decode(ids) == (text * 2).encode()
 
 
 def test_long_matches_merge_the_same(merges):
     own, encoding = merges
     draw = random.Random(5)
-    for text in ("a" * 5000, "".join(draw.choices("abcdefgh", k=4000)), " " * 700 + "x", "=" * 999):
-        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == encoding.encode_ordinary(text)
-    for word in (b"hello world" * 40, b"aaaaabaaaa" * 30):
-        assert own.merge_long(word[:200]) == np.frombuffer(own.merge_all([word[:200]])[0], "<u4").tolist()
+    for text in ("a" * 5000, "".join(draw.choices("abcdefgh", k=4000)), " " * 700 + "x", "=" * 999, "日本語の文字" * 200, "ab" * 100_000):
+        assert own.encode([text])[0].tolist() == encoding.encode_ordinary(text)
+
+
+def brute_merges(ranks, raw):
+    """One merge a round: the leftmost pair of least rank."""
+    parts = [raw[k : k + 1] for k in range(len(raw))]
+    while True:
+        found = [(ranks[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not found:
+            return [ranks[p] for p in parts]
+        k = min(found)[1]
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+
+def test_merges_where_a_merge_makes_a_pair_of_less_rank(tmp_path):
+    import base64
+
+    draw = random.Random(9)
+    for _ in range(60):
+        tokens = [bytes([b]) for b in range(256)]
+        more = list({bytes(draw.choices(b"abc", k=draw.randint(2, 5))) for _ in range(25)})
+        draw.shuffle(more)  # ranks that no training would give
+        path = tmp_path / "ranks"
+        path.write_bytes(b"".join(base64.b64encode(t) + f" {k}\n".encode() for k, t in enumerate([*tokens, *more])))
+        own, ranks = byte_bpe.ByteBpe(str(path), public_tokenizers.PATTERN), byte_bpe.read_ranks(path)
+        raw = [bytes(draw.choices(b"abc", k=draw.randint(1, 40))) for _ in range(40)]
+        assert [np.frombuffer(f, "<u4").tolist() for f in own.merge_all(raw)] == [brute_merges(ranks, r) for r in raw]
 
 
 def test_digests_over_odd_rows(merges, odd_docs, odd_rows, no_docs):
@@ -99,13 +125,21 @@ def test_digests_over_odd_rows(merges, odd_docs, odd_rows, no_docs):
     assert Counter((r.doc_id, bytes(r.raw)) for r in back.collect()) == Counter((i, (t or "").encode()) for i, t in odd_rows)
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(ALPHABET, max_size=60))
-def test_chunks_do_not_change_ids(text):
+def check_ids(texts):
     for path, kind in ((BYTES, "spaced"), (WORDS, "folded")):
-        ids = chunks.shared_encoder(path, kind).encode([text])[0]
-        assert np.frombuffer(ids, "<u4").tolist() == library(path).encode(text, add_special_tokens=False).ids
-    assert "".join(chunks.spaced_chunks(text)) == text
+        ids, offsets = chunks.shared_encoder(path, kind).encode(texts)
+        expected = library(path).encode_batch(texts, add_special_tokens=False)
+        assert [ids[i:j].tolist() for i, j in zip(offsets, offsets[1:])] == [e.ids for e in expected]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(UNICODE, min_size=1, max_size=4))
+def test_ids_equal_the_plain_library_call(texts):
+    check_ids(texts)
+
+
+def test_ids_of_known_snares():
+    check_ids(["İ, x", "TÜRKİ. evet", "AYŞE VE ALİ; EV", "a <|endoftext|> b", "a\n <|endoftext|>", "<|ENDOFTEXT|> x", "x<|startoftext|>", "a \x01b", "a\n\x01b", "H̱ I̱. K̇", "\n", " ", "a\nb\n", "a\r\nb c", ""])
 
 
 def test_recent_forgets_rare_strings_only():
@@ -193,13 +227,20 @@ def test_packing_is_as_good_as_best_fit(spark, seed, low, high):
     assert n <= brute_best_fit(lengths, 100) * 1.02 + 1
 
 
-def test_recent_forgets_when_idle(monkeypatch):
+def test_recent_forgets_at_another_stage(monkeypatch):
+    import pyspark
+
     from millrace.llm.common import Recent
 
+    class Task:
+        def __init__(self, stage):
+            self.stageId = lambda: stage
+
     one, two = Recent(), Recent()
+    monkeypatch.setattr(pyspark.TaskContext, "get", lambda: Task(1))
     one.resolve({"a"}, lambda new: new)
     two.resolve({"b"}, lambda new: new)
-    assert one.young
-    one.used -= Recent.idle_s + 1
+    assert one.young and two.young
+    monkeypatch.setattr(pyspark.TaskContext, "get", lambda: Task(2))
     two.resolve({"c"}, lambda new: new)
     assert not one.young and set(two.young) == {"b", "c"}
