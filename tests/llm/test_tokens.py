@@ -218,13 +218,32 @@ def brute_best_fit(lengths, capacity):
     return len(gaps)
 
 
-@pytest.mark.parametrize("seed,low,high", [(1, 1, 100), (2, 30, 60), (3, 1, 12), (4, 51, 100), (5, 34, 34)])
-def test_packing_is_as_good_as_best_fit(spark, seed, low, high):
+@pytest.mark.parametrize("seed,low,high", [(1, 1, 100), (2, 30, 60), (3, 1, 12), (4, 51, 100), (5, 34, 34), (6, 1, 40)])
+@pytest.mark.parametrize("block", [packing.BLOCK_TOKENS, 3000])
+def test_packing_is_as_good_as_best_fit(spark, seed, low, high, block):
     draw = random.Random(seed)
-    lengths = [draw.randint(low, high) for _ in range(400)]
+    lengths = [draw.randint(low, high) for _ in range(2000)]
     found = spark.createDataFrame([(k, 0, 0, n, 0) for k, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(5)
-    n = check_packing(packing.pack(found, 100).collect(), Counter(dict(enumerate(lengths))), 100)
-    assert n <= brute_best_fit(lengths, 100) * 1.02 + 1
+    n = check_packing(packing.pack(found, 100, block).collect(), Counter(dict(enumerate(lengths))), 100)
+    assert n <= brute_best_fit(lengths, 100) * 1.02 + 8
+
+
+def test_claims_meet_once():
+    draw = random.Random(3)
+    for _ in range(200):
+        pieces, gaps = ({k: draw.randint(1, 50) for k in range(12) if draw.random() < 0.6} for _ in range(2))
+        found = packing.claims(pieces, gaps)
+        for number, total in pieces.items():
+            parts = sorted((at, n) for r, at, n, _, _ in found if r == number)
+            assert [at for at, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) == total
+        taken = Counter()
+        for number, _, n, other, there in found:
+            assert n > 0 and (other is None or (other < number and there >= 0 and there + n <= gaps[other]))
+            for token in range(there, there + n) if other is not None else ():
+                taken[other, token] += 1
+        assert not taken or max(taken.values()) == 1
+        for number, _, _, other, _ in found:  # new sequences only where no range before has a gap left
+            assert other is not None or all(taken[r, t] for r in gaps if r < number for t in range(gaps[r]))
 
 
 def test_recent_forgets_at_another_stage(monkeypatch):
