@@ -3,17 +3,23 @@
 Normalised vectors with a cosine of at least `least` lie within sqrt(2 - 2 least) of each other. A table's hash
 concatenates projections on Gaussian directions, shifted and quantised to WIDTH; a vector is filed in one bucket of
 each table. How many projections follows from the number of vectors (about CANDIDATES others by chance in a bucket),
-and how many tables from the chance that a pair just at the threshold shares no bucket, at most MISS. Every pair in
-a bucket is checked by its exact cosine, in the first table only that has it, so it counts once; large buckets are
-split in blocks. A task emits each vector's links counted and a forest of the links, not the pairs.
+and how many tables from the chance that a pair just at the threshold shares no bucket, at most MISS.
 
-Equal vectors are one class from the start. Pairs below the threshold are never linked; a pair at it is missed with
-a chance of MISS, and nearer ones with much less: all of a smaller chance as the cosine grows.
+Buckets get no vectors, only slim rows: table, code, class and a sketch of SKETCH sign bits. Two of a bucket whose
+sketches differ in at most `sketch_limit` bits are candidates, and a task emits a forest of them, not the pairs.
+Candidates' connected components then get each vector once, and all pairs within a component are checked by their
+exact cosine in double precision, large components in blocks; a component of more than LARGE classes is checked
+within its buckets, each pair in the first table that has it. A task emits each vector's links counted and a forest
+of them.
+
+Equal vectors (by 128 bits of hashes) are one class from the start. Pairs below the threshold are never linked; a
+pair at it is missed with a chance of MISS, and nearer ones with much less: all of a smaller chance as the cosine
+grows.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing, and
 each is its own component; vectors of different lengths never link; repeated rows are equal vectors and count as
-links of each other; a row without an id has a null component; an empty table gives an empty result; other columns
-aren't read.
+links of each other; a row without an id links like any other and has a null component; an empty table gives an
+empty result; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -25,15 +31,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import written
 from .components import components
 from .grouped import blocked, stars, whole_groups
 
 #: Width of a quantisation step, vectors that share a bucket by chance, and the chance of a miss at the threshold.
-WIDTH, CANDIDATES, MISS = 2.0, 64, 0.003
+WIDTH, CANDIDATES, MISS = 2.0, 512, 0.003
 #: Projections of a table at least and at most.
 PROJECTIONS = (4, 24)
+#: Bits of a sketch, and the chance that a pair at the threshold differs in too many of them.
+SKETCH, SKETCH_MISS = 128, 2e-5
+#: Rows of a bucket's block; classes of a component up to which all its pairs are checked.
+BUCKET_ROWS, LARGE = 8192, 100_000
 SEED = 20240101
 
 
@@ -54,8 +65,18 @@ def shape(n: int, least: float) -> tuple[int, int]:
     return k, max(1, math.ceil(math.log(MISS) / math.log(1 - near))) if near < 1 else 1
 
 
+def sketch_limit(least: float) -> int:
+    """Differing bits that a pair at the threshold exceeds with a chance of SKETCH_MISS at most."""
+    p, above = math.acos(least) / math.pi, 1.0
+    for k in range(SKETCH + 1):
+        above -= math.comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)
+        if above <= SKETCH_MISS:
+            return k
+    return SKETCH
+
+
 class Hasher:
-    """Bucket codes of unit vectors, one 32-bit integer a table."""
+    """Bucket codes of unit vectors, one 32-bit integer a table, and their sketches."""
 
     def __init__(self, dims: int, projections: int, tables: int):
         draw = np.random.default_rng([SEED, dims])
@@ -63,134 +84,174 @@ class Hasher:
         self.shifts = draw.uniform(0, WIDTH, projections * tables)
         self.mix = draw.integers(1, 1 << 62, projections, dtype=np.int64) | 1
         self.form = (tables, projections)
+        self.planes = draw.standard_normal((dims, SKETCH))
 
     def codes(self, unit: np.ndarray) -> np.ndarray:
         steps = np.floor((unit @ self.directions + self.shifts) / WIDTH).astype(np.int64).reshape(len(unit), *self.form)
         mixed = (steps * self.mix).sum(2)
         return ((mixed ^ (mixed >> 31)) & 0x7FFFFFFF).astype(np.int32)
 
+    def sketches(self, unit: np.ndarray) -> np.ndarray:
+        return np.packbits(unit @ self.planes > 0, axis=1).view(np.int64)
+
+
+_hashers: dict[tuple[int, int, int], Hasher] = {}
+
 
-def _unit(raw: np.ndarray) -> np.ndarray:
+def hasher(dims: int, projections: int, tables: int) -> Hasher:
+    if (dims, projections, tables) not in _hashers:
+        _hashers[dims, projections, tables] = Hasher(dims, projections, tables)
+    return _hashers[dims, projections, tables]
+
+
+def _unit(vecs: pa.Array, rows: np.ndarray) -> np.ndarray:
+    """Unit vectors of some rows of equal length, in double precision."""
+    ends = vecs.offsets.to_numpy()
+    raw = vecs.values.to_numpy()[ends[rows][:, None] + np.arange(ends[rows[0] + 1] - ends[rows[0]])].astype(np.float64)
+    raw = raw / np.abs(raw).max(1, keepdims=True)
     return raw / np.sqrt((raw * raw).sum(1, keepdims=True))
 
 
-def classes_of(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """rep (least id), n (rows) and vec (doubles) of each distinct usable vector."""
-    usable = (F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & (F.abs(x) < math.inf)) & F.exists("vec", lambda x: x != 0)
-    slim = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    return slim.where(F.col("vec").isNotNull() & usable).groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("key", F.xxhash64("vec"))
+def _same_length(vecs: pa.Array, most: int = 512) -> Iterator[tuple[int, np.ndarray]]:
+    """Dimensions, and rows of vectors that have them, at most `most` at a time."""
+    dims = np.diff(vecs.offsets.to_numpy())
+    for d in np.unique(dims):
+        which = np.flatnonzero(dims == d)
+        for start in range(0, len(which), most):
+            yield int(d), which[start : start + most]
+
+
+def _rows(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """vec_id, vec and two hashes of it, null where the vector isn't usable."""
+    kind = "float" if isinstance(vectors.schema[vec_col].dataType.elementType, FloatType) else "double"
+    slim = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(f"array<{kind}>").alias("vec"))
+    usable = F.col("vec").isNotNull() & (F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & (F.abs(x) < math.inf)) & F.exists("vec", lambda x: x != 0)
+    return slim.withColumns({"h1": F.when(usable, F.xxhash64("vec")), "h2": F.when(usable, F.xxhash64(F.lit(SEED), "vec"))})
+
+
+def classes_of(rows: DataFrame) -> DataFrame:
+    """cls (a number), h1, h2, rep (least id), n (rows), dims and vec of each distinct usable vector."""
+    found = rows.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec"))
+    return found.select(F.monotonically_increasing_id().alias("cls"), "*", F.size("vec").alias("dims"))
 
 
-def bucket_links(classes: DataFrame, least: float) -> DataFrame:
-    """Rows of two kinds: (key, rep, links), counted once a pair, and forest edges (rep, root)."""
-    sizes = classes.groupBy(F.size("vec").alias("dims")).count().collect()  # one row for each length of vectors
-    k, tables = shape(sum(r["count"] for r in sizes), least)
-    hashers: dict[int, Hasher] = {}
+def filed(classes: DataFrame, k: int, tables: int) -> DataFrame:
+    """A slim row for each class and table: dims, tab, code, cls and the sketch."""
 
-    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vecs = batch.column("vec")
-            ends = vecs.offsets.to_numpy()
-            values = vecs.values.to_numpy()
-            dims = np.diff(ends)
-            for d in np.unique(dims):
-                hasher = hashers.setdefault(int(d), Hasher(int(d), k, tables))
-                which = np.flatnonzero(dims == d)
-                for start in range(0, len(which), 256):
-                    some = which[start : start + 256]
-                    raw = values[ends[some][:, None] + np.arange(d)]
-                    unit = _unit(raw / np.abs(raw).max(1, keepdims=True))
-                    codes = hasher.codes(unit)
-                    row = np.repeat(np.arange(len(some)), tables)
-                    payload = [np.concatenate([u.view(np.uint8), c.view(np.uint8)]).tobytes() for u, c in zip(unit, codes, strict=True)]
-                    at = pa.array(some[row])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(row), d, np.int32)), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(some))), pa.array(codes.ravel()), *(batch.column(c).take(at) for c in ("key", "rep", "n")), pa.array(payload, pa.binary()).take(pa.array(row))],
-                        names=["dims", "tab", "code", "key", "rep", "n", "payload"],
-                    )
-
-    filed = classes.select("vec", "key", "rep", "n").mapInArrow(file, "dims int, tab int, code int, key long, rep long, n long, payload binary")
-    dealt = blocked(filed, ["dims", "tab", "code"], F.col("key"), label="embedding-buckets")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cls = batch.column("cls").to_numpy()
+            for d, rows in _same_length(batch.column("vec")):
+                unit, form = _unit(batch.column("vec"), rows), hasher(d, k, tables)
+                each, sketch = np.repeat(rows, tables), np.repeat(form.sketches(unit), tables, axis=0)
+                columns = [np.full(len(each), d, np.int32), np.tile(np.arange(tables, dtype=np.int32), len(rows)), form.codes(unit).ravel(), cls[each], sketch[:, 0], sketch[:, 1]]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["dims", "tab", "code", "cls", "s1", "s2"])
+
+    return classes.select("cls", "vec").mapInArrow(run, "dims int, tab int, code int, cls long, s1 long, s2 long")
+
+
+def candidates(buckets: DataFrame, least: float) -> DataFrame:
+    """Edges (u, v) that have the components of all pairs of classes of a bucket whose sketches are near enough."""
+    dealt = blocked(buckets, ["dims", "tab", "code"], F.col("cls"), BUCKET_ROWS, "embedding-buckets")
+    most = sketch_limit(least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in whole_groups(batches, ["dims", "tab", "code", "lo", "hi"]):
-            found = compared(table, at, least, tables)
-            if found is not None:
-                yield found
-
-    return dealt.mapInArrow(compare, "key long, rep long, links long, root long")
-
-
-def compared(table: pa.Table, at: np.ndarray, least: float, tables: int) -> pa.RecordBatch | None:
-    size = np.diff(at)
-    names = ("dims", "tab", "lo", "hi", "block", "key", "n")
-    column = {c: table.column(c).to_numpy() for c in names}
-    rep = table.column("rep").to_numpy(zero_copy_only=False)
-    payload = table.column("payload").chunk(0)
-    keys, reps, counts, left, right = [], [], [], [], []
-    for g in np.flatnonzero(size > 1):
-        a, b = int(at[g]), int(at[g + 1])
-        d, tab = int(column["dims"][a]), int(column["tab"][a])
-        width = 8 * d + 4 * tables
-        raw = np.frombuffer(b"".join(payload.slice(a, b - a).to_pylist()), np.uint8).reshape(b - a, width)
-        unit = np.ascontiguousarray(raw[:, : 8 * d]).view(np.float64)
-        codes = np.ascontiguousarray(raw[:, 8 * d :]).view(np.int32)
-        if column["lo"][a] == column["hi"][a]:
-            i, j = np.nonzero(np.triu(unit @ unit.T >= least, 1))
-        else:
-            low = np.flatnonzero(column["block"][a:b] == column["lo"][a])
-            high = np.flatnonzero(column["block"][a:b] != column["lo"][a])
-            if not len(low) or not len(high):
-                continue
-            i, j = np.nonzero(unit[low] @ unit[high].T >= least)
-            i, j = low[i], high[j]
-        if tab:
-            first = np.empty(len(i), bool)
-            for k in range(0, len(i), 1 << 16):
-                first[k : k + (1 << 16)] = ~(codes[i[k : k + (1 << 16)], :tab] == codes[j[k : k + (1 << 16)], :tab]).any(1)
-            i, j = i[first], j[first]
-        if not len(i):
-            continue
-        n = column["n"][a:b]
-        total = np.bincount(i, n[j], b - a) + np.bincount(j, n[i], b - a)
-        linked = np.flatnonzero(total)
-        keys.append(column["key"][a:b][linked])
-        reps.append(rep[a:b][linked])
-        counts.append(total[linked].astype(np.int64))
-        u, v = rep[a:b][i], rep[a:b][j]
-        real = ~(np.isnan(u.astype(np.float64)) | np.isnan(v.astype(np.float64)))
-        left.append(u[real].astype(np.int64))
-        right.append(v[real].astype(np.int64))
-    if not keys:
-        return None
-    u, v = stars(np.concatenate(left), np.concatenate(right))
-    many = sum(map(len, keys))
-    none = lambda k, kind: pa.nulls(k, kind)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.concat_arrays([pa.array(np.concatenate(keys)), none(len(u), pa.int64())]),
-            pa.concat_arrays([pa.array(np.concatenate(reps), pa.int64(), from_pandas=True), pa.array(u, pa.int64())]),
-            pa.concat_arrays([pa.array(np.concatenate(counts)), none(len(u), pa.int64())]),
-            pa.concat_arrays([none(many, pa.int64()), pa.array(v, pa.int64())]),
-        ],
-        names=["key", "rep", "links", "root"],
-    )
+            s1, s2 = (table.column(c).to_numpy().view(np.uint64) for c in ("s1", "s2"))
+            cls, block = table.column("cls").to_numpy(), table.column("block").to_numpy()
+            apart = table.column("lo").to_numpy() != table.column("hi").to_numpy()
+            u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for g in np.flatnonzero(np.diff(at) > 1):
+                a, b = int(at[g]), int(at[g + 1])
+                step = max(1, (1 << 20) // (b - a))
+                for i in range(a, b, step):
+                    j = min(i + step, b)
+                    near = np.bitwise_count(s1[i:j, None] ^ s1[None, i:b]).astype(np.uint8) + np.bitwise_count(s2[i:j, None] ^ s2[None, i:b]) <= most
+                    left, right = np.nonzero(near)
+                    ok = left < right
+                    if apart[a]:
+                        ok &= block[i + left] != block[i + right]
+                    if ok.any():
+                        x, y = stars(cls[i + left[ok]], cls[i + right[ok]])
+                        u.append(x)
+                        v.append(y)
+            u, v = np.concatenate(u), np.concatenate(v)
+            if len(u):
+                u, v = stars(u, v)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def bucket_links(members: DataFrame, least: float, k: int, tables: int) -> DataFrame:
+    """Rows of two kinds for members (root, tab, code, cls, n, vec): (cls, links), counted once a pair, and edges (cls, root).
+
+    Members of a component with tab -1 are compared with each other, those of a table within their bucket.
+    """
+    keys = ["root", "tab", "code"]
+    dealt = blocked(members, keys, F.col("cls"), label="embedding-components")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in whole_groups(batches, [*keys, "lo", "hi"]):
+            column = {c: table.column(c).to_numpy() for c in ("tab", "lo", "hi", "block", "cls", "n")}
+            vecs = table.column("vec").combine_chunks()
+            classes, counts, left, right = [], [], [], []
+            for g in np.flatnonzero(np.diff(at) > 1):
+                a, b = int(at[g]), int(at[g + 1])
+                unit, tab = _unit(vecs, np.arange(a, b)), int(column["tab"][a])
+                if column["lo"][a] == column["hi"][a]:
+                    i, j = np.nonzero(np.triu(unit @ unit.T >= least, 1))
+                else:
+                    low = np.flatnonzero(column["block"][a:b] == column["lo"][a])
+                    high = np.flatnonzero(column["block"][a:b] != column["lo"][a])
+                    i, j = np.nonzero(unit[low] @ unit[high].T >= least)
+                    i, j = low[i], high[j]
+                if tab > 0 and len(i):
+                    codes = hasher(unit.shape[1], k, tables).codes(unit)[:, :tab]
+                    first = np.concatenate([~(codes[i[x : x + 65536]] == codes[j[x : x + 65536]]).any(1) for x in range(0, len(i), 65536)])
+                    i, j = i[first], j[first]
+                if not len(i):
+                    continue
+                n, cls = column["n"][a:b], column["cls"][a:b]
+                total = np.bincount(i, n[j], b - a) + np.bincount(j, n[i], b - a)
+                linked = np.flatnonzero(total)
+                classes.append(cls[linked])
+                counts.append(total[linked].astype(np.int64))
+                left.append(cls[i])
+                right.append(cls[j])
+            if classes:
+                u, v = stars(np.concatenate(left), np.concatenate(right))
+                classes, counts = np.concatenate(classes), np.concatenate(counts)
+                none = pa.nulls(len(classes), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(classes), pa.array(counts), none], names=["cls", "links", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.nulls(len(u), pa.int64()), pa.array(v)], names=["cls", "links", "root"])
+
+    return dealt.mapInArrow(run, "cls long, links long, root long")
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """vec_id, n_links (other vectors linked directly), component_id (least id reachable) and kept of each vector."""
-    classes = written(classes_of(vectors, id_col, vec_col), "embedding-classes")
-    found = written(bucket_links(classes, least), "embedding-links")
-    counts = found.where("links IS NOT NULL").groupBy("key", "rep").agg(F.sum("links").alias("links"))
-    edges = found.where("root IS NOT NULL").select(F.col("rep").alias("u"), F.col("root").alias("v"))
-    rooted = components(edges, "embedding-components")
-    sized = classes.select("vec", "key", "rep", "n")
-    known = sized.join(counts, (sized.key == counts.key) & sized.rep.eqNullSafe(counts.rep), "left").select(sized.vec, sized.rep, "n", F.coalesce("links", F.lit(0)).alias("links"))
-    known = known.join(rooted, known.rep == rooted.node, "left").select("vec", "n", "links", F.coalesce("root", "rep").alias("least_id"))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    out = rows.join(known, "vec", "left").select(
+    rows = _rows(vectors, id_col, vec_col)
+    classes = written(classes_of(rows), "embedding-classes")
+    k, tables = shape(classes.count(), least)
+    buckets = filed(classes, k, tables)
+    grouped = components(candidates(buckets, least), "embedding-candidates")
+    joined = classes.select("cls", "n", "vec").join(grouped, F.col("cls") == F.col("node")).select("root", "cls", "n", "vec")
+    sizes = written(grouped.groupBy("root").agg(F.count("*").alias("size")).where(F.col("size") > LARGE).select("root"), "embedding-large")
+    members = joined.select("root", F.lit(-1).alias("tab"), F.lit(0).alias("code"), "cls", "n", "vec")
+    if not sizes.isEmpty():
+        large = joined.join(sizes, "root", "left_semi")
+        members = members.join(sizes, "root", "left_anti").union(large.join(buckets.select("cls", "tab", "code"), "cls").select("root", "tab", "code", "cls", "n", "vec"))
+    found = written(bucket_links(members, least, k, tables), "embedding-links")
+    rooted = components(found.where("root IS NOT NULL").select(F.col("cls").alias("u"), F.col("root").alias("v")), "embedding-components")
+    counts = found.where("links IS NOT NULL").select("cls", "links", F.lit(None).cast("long").alias("root"))
+    linked = counts.union(rooted.select("node", F.lit(None).cast("long"), "root")).groupBy("cls").agg(F.sum("links").alias("links"), F.max("root").alias("root"))
+    known = written(classes.select("cls", "h1", "h2", "rep", "n").join(linked, "cls", "left").drop("cls"), "embedding-known")
+    least_ids = known.where("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("least_id"))
+    known = known.join(least_ids, "root", "left").select("h1", "h2", "n", "links", F.coalesce("least_id", "rep").alias("least_id"))
+    out = rows.drop("vec").join(known, ["h1", "h2"], "left").select(
         "vec_id",
-        F.coalesce(F.col("links") + F.col("n") - 1, F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce(F.coalesce("links", F.lit(0)) + F.col("n") - 1, F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("vec_id").isNotNull(), F.coalesce("least_id", "vec_id")).alias("component_id"),
     )
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
