@@ -7,18 +7,37 @@ from pyspark.sql import functions as F
 
 from .common import drop_written, written
 
+#: Edges of a node that one task joins at most, and nodes with more of them at most (else the first number grows).
+HOT_EDGES, HOT_NODES = 1 << 16, 50_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _with_least(edges: DataFrame, n_edges: int) -> tuple[DataFrame, DataFrame]:
+    """edges (u, v) with m, the least v of u; and u and m of each u.
+
+    The edges of a node that has more than HOT_EDGES are split by hash over several keys of the join, and its least
+    neighbour goes to each. There are at most HOT_NODES such nodes, whose numbers of keys are broadcast.
+    """
+    most = max(HOT_EDGES, 2 * n_edges // HOT_NODES)
+    least = written(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "components-least")
+    hot = least.where(F.col("n") > most).select("u", F.ceil(F.col("n") / most).cast("int").alias("keys"))
+    if hot.isEmpty():
+        return edges.join(least.select("u", "m"), "u"), least
+    dealt = edges.join(F.broadcast(hot), "u", "left").withColumn("key", F.pmod(F.xxhash64("v"), F.coalesce("keys", F.lit(1))).cast("int")).drop("keys")
+    keys = F.when(F.col("n") > most, F.ceil(F.col("n") / most)).otherwise(1).cast("int")
+    each = least.select("u", "m", F.explode(F.sequence(F.lit(0), keys - 1)).alias("key"))
+    return dealt.join(each, ["u", "key"]).drop("key"), least
+
+
+def _large_star(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    met, least = _with_least(both, 2 * n)
+    return met.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v")))
+    met, least = _with_least(down, n)
+    return met.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))), least
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -36,8 +55,12 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     now = written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label)
     state = _state(now)
     while state[0]:
-        new = written(_small_star(_large_star(now)).distinct(), label)
-        drop_written(now)
+        large, first = _large_star(now, state[0])
+        large = written(large.distinct(), label)
+        small, second = _small_star(large, state[0])
+        new = written(small.distinct(), label)
+        for old in (now, first, large, second):
+            drop_written(old)
         now, before, state = new, state, _state(new)
         if state == before:
             break
