@@ -34,25 +34,34 @@ BITS = 64
 SHINGLE, SEED = 3, 42
 #: Cost of a probe row against that of a verified candidate, for choosing thresholds.
 PROBE_COST, CANDIDATE_COST = 1.0, 0.02
-#: Pairs that are verified at a time.
-PAIRS = 1 << 20
+#: Pairs that are verified at a time; dropped documents up to which their ids are broadcast.
+PAIRS, FEW = 1 << 20, 500_000
 
 
-def fingerprint(text: str | None, words: int = SHINGLE) -> int:
-    """The text's fingerprint, unsigned."""
+def shingle_hashes(text: str | None, words: int = SHINGLE) -> np.ndarray:
+    """Hashes of the text's shingles, repeats included; fewer words than a shingle has are one."""
     from xxhash import xxh64_intdigest
 
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(found) <= words:
-        return xxh64_intdigest(b" ".join(found), SEED)
-    join, votes, n = b" ".join, np.zeros(BITS, np.int64), len(found) - words + 1
-    for start in range(0, n, 1 << 16):
-        part = found[start : start + (1 << 16) + words - 1]
-        hashes = np.array([xxh64_intdigest(join(s), SEED) for s in zip(*(part[k:] for k in range(words)), strict=False)], ">u8")
-        votes += np.unpackbits(hashes.view(np.uint8)).reshape(-1, BITS).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
+        return np.array([xxh64_intdigest(b" ".join(found), SEED)], np.uint64)
+    join = b" ".join
+    return np.fromiter((xxh64_intdigest(join(s), SEED) for s in zip(*(found[k:] for k in range(words)), strict=False)), np.uint64, len(found) - words + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of a text's hashes: the bits that over half of them have; zero for none."""
+    votes, raw = np.zeros(BITS, np.int64), hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
+    for start in range(0, len(raw), 1 << 16):
+        votes += np.unpackbits(raw[start : start + (1 << 16)], axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, words: int = SHINGLE) -> int:
+    """The text's fingerprint, unsigned."""
+    return majority(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
@@ -106,31 +115,50 @@ def partitions(n: int, both: np.ndarray, m: int) -> list[list[int]]:
 
 
 def candidates(n: int, both: np.ndarray, group: list[int], threshold: int) -> float:
-    """Estimated pairs of n fingerprints that differ in at most threshold bits of group."""
+    """Estimated pairs of n fingerprints that differ in at most threshold bits of group.
+
+    Whether two fingerprints differ in a bit depends, here, on whether they differ in the bit before it, in an order
+    in which each bit is followed by the one that goes with it most; the counts of pairs of bits say how much.
+    """
     if threshold < 0:
         return 0.0
-    chance = np.zeros(threshold + 2)
-    chance[0] = 1.0
-    for b in group:
-        p = both[b, b] / max(1, n)
-        differ = 2 * p * (1 - p)
-        chance[1:] = chance[1:] * (1 - differ) + chance[:-1] * differ
-        chance[0] *= 1 - differ
-        chance[-1] = 0.0
+    p = np.diag(both) / max(1, n)
+    differ = 2 * p * (1 - p)
+    p11 = both / max(1, n)
+    p10, p01 = p[:, None] - p11, p[None, :] - p11
+    differ_both = 2 * (p11 * np.maximum(0, 1 - p11 - p10 - p01) + p10 * p01)
+    rest, order = set(group[1:]), [group[0]]
+    while rest:
+        last = order[-1]
+        order.append(max(rest, key=lambda b: (abs(differ_both[last, b] - differ[last] * differ[b]), -b)))
+        rest.discard(order[-1])
+    # chance[k, d]: that k bits so far differ, the last of them (d = 1) or not.
+    chance = np.zeros((threshold + 2, 2))
+    chance[0, 0], chance[1, 1] = 1 - differ[order[0]], differ[order[0]]
+    for last, b in zip(order, order[1:]):
+        after = differ_both[last, b] / differ[last] if differ[last] > 0 else differ[b]
+        otherwise = (differ[b] - differ_both[last, b]) / (1 - differ[last]) if differ[last] < 1 else differ[b]
+        new = np.zeros_like(chance)
+        new[:, 0] = chance[:, 0] * (1 - otherwise) + chance[:, 1] * (1 - after)
+        new[1:, 1] = chance[:-1, 0] * otherwise + chance[:-1, 1] * after
+        new[-1] = 0.0
+        chance = new
     return n * n / 2 * float(chance[: threshold + 1].sum())
 
 
 def allocate(n: int, both: np.ndarray, groups: list[list[int]], distance: int) -> tuple[float, list[int]]:
     """Least cost and the thresholds that have it; they sum to distance - m + 1."""
-    m, goal = len(groups), distance + 1  # thresholds plus one each sum to this
+    goal = distance + 1  # thresholds plus one each sum to this
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for group in groups:
+        met = [candidates(n, both, group, t) for t in range(goal)]
         new: dict[int, tuple[float, list[int]]] = {}
         for used, (cost, chosen) in best.items():
             for extra in range(0, goal - used + 1):
                 t = extra - 1
                 probes = sum(comb(len(group), k) for k in range(t + 1))
-                total = cost + PROBE_COST * n * probes + CANDIDATE_COST * candidates(n, both, group, t) * max(1, probes if t else 1)
+                pairs = 2 * met[t] - met[0] if t >= 0 else 0.0  # a pair that differs is met by the probes of both
+                total = cost + PROBE_COST * n * probes + CANDIDATE_COST * pairs
                 if used + extra not in new or total < new[used + extra][0]:
                     new[used + extra] = (total, [*chosen, t])
         best = new
@@ -239,12 +267,17 @@ def kept_documents(docs: DataFrame, distance: int = 3, words: int = SHINGLE) ->
     return kept_of(docs, marked.join(rooted, "fp"))
 
 
-def kept_of(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """The document of the least id of each root in marked (doc_id, text_hash, root), once, and those without an id."""
-    rows = marked.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
-    least = written(rows.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("k")).select("k.*"), "simhash-kept")
-    keys = least.select("doc_id", F.col("text_hash").alias("_text_hash"))
-    kept = docs.withColumn("_text_hash", text_hash("text")).join(keys.hint("merge"), ["doc_id", "_text_hash"], "left_semi")  # the ids grow with the documents
+def kept_of(docs: DataFrame, marked: DataFrame, few: int = FEW) -> DataFrame:
+    """The document of the least id of each root in marked (doc_id, text_hash, root), once, and those without an id.
+
+    Documents go by an anti-join with those dropped: broadcast if they are at most `few`, else merged.
+    """
+    rows = written(marked.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n")), "simhash-rows")
+    least = rows.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("k")).select("root", "k.*")
+    dropped = written(rows.join(least.select("root", "doc_id", "text_hash"), ["root", "doc_id", "text_hash"], "left_anti").select("doc_id", F.col("text_hash").alias("_text_hash")), "simhash-dropped")
+    gone = F.broadcast(dropped) if dropped.count() <= few else dropped.hint("merge")
+    kept = docs.withColumn("_text_hash", text_hash("text")).join(gone, ["doc_id", "_text_hash"], "left_anti")
     if not least.where("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "_text_hash"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+        named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "_text_hash"])
+        kept = named.unionByName(kept.where("doc_id IS NULL"))
+    return kept.select(*docs.columns)
