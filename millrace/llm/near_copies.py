@@ -1,10 +1,12 @@
-"""Near copies by exact similarity of word shingles: pairs whose sets of shingles have a Jaccard similarity of `similarity`.
+"""SimHash near-duplicates for word shingles of a given similarity, checked exactly: what the pipeline's stage calls.
 
-Texts with equal sets are one class from the start, so copies are never compared. Each class has TABLES keys of ROWS
-minimum hashes; classes that share a key are candidates. Candidates are compared within their connected components,
-each set shipped once to its component (large ones split in blocks), and linked by the exact similarity. A pair shares
-no key with a chance of (1 - s ** ROWS) ** TABLES at similarity s: under 0.0001 at 0.8, under 1e-11 at 0.9.
-A 64-bit SimHash would not do: at 0.8 about 10 bits differ on average, and an index for up to 18 has no selective keys.
+The candidates are, first, the links of operator 4: fingerprints of the shingles that the generalised pigeonhole finds
+within `distance` bits. A pair at a Jaccard similarity of 0.8 differs in about 10 of 64 bits, and an index for the 18
+that hold nearly all such pairs has no selective keys, so fingerprints alone would lose them. Therefore each class of
+equal sets also has TABLES keys of ROWS minimum hashes, and classes that share a key are candidates too. All
+candidates are compared within their connected components, each set shipped once to its component (large ones split
+in blocks), and linked by the exact similarity of their sets. A pair shares no key with a chance of
+(1 - s ** ROWS) ** TABLES at similarity s: under 0.0001 at 0.8, under 1e-11 at 0.9.
 
 Defined results: null and empty texts and those without words are copies of each other; a text of fewer words than a
 shingle is one shingle; a document without an id is kept and near to none; other columns aren't read.
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import map_texts, text_hash, text_of, written
 from .components import components
 from .grouped import blocked, stars, whole_groups
+from .simhash import FEW, bit_counts, kept_of, majority, plan, shingle_hashes
+from .simhash import links as fingerprint_links
 
 SEED = 42
 #: Minimum hashes of a key, and keys of a class.
@@ -36,15 +40,7 @@ _TERMS = _draw.integers(0, 1 << 63, ROWS * TABLES, np.uint64)
 
 def shingles(text: str | None, words: int) -> np.ndarray:
     """Hashes of the distinct shingles, ascending."""
-    from xxhash import xxh64_intdigest
-
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    if len(found) <= words:
-        return np.array([xxh64_intdigest(b" ".join(found), SEED)], np.uint64)
-    join = b" ".join
-    return np.unique(np.fromiter((xxh64_intdigest(join(s), SEED) for s in zip(*(found[k:] for k in range(words)), strict=False)), np.uint64))
+    return np.unique(shingle_hashes(text, words))
 
 
 def keys_of(found: np.ndarray) -> np.ndarray:
@@ -129,43 +125,67 @@ def links(sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def marked_documents(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, cls (a hash of the set of shingles) and keys of each document."""
+    """doc_id, text_hash, fp (fingerprint), cls (a hash of the set of shingles) and keys of each document."""
     from xxhash import xxh64_intdigest
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), text_hash(text_col).alias("text_hash"))
 
     def make(block: pa.RecordBatch) -> list[pa.Array]:
-        sets = [shingles(t, words) for t in block.column("text").to_pylist()]
+        found = [shingle_hashes(t, words) for t in block.column("text").to_pylist()]
+        prints = np.array([majority(f) for f in found], np.uint64).view(np.int64)
+        sets = list(map(np.unique, found))
         cls = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
         keys = [keys_of(s) for s in sets]
         ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-        return [block.column("doc_id"), block.column("text_hash"), pa.array(cls), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))]
+        return [block.column("doc_id"), block.column("text_hash"), pa.array(prints), pa.array(cls), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))]
+
+    return map_texts(slim, make, "doc_id long, text_hash long, fp long, cls long, keys array<long>")
+
 
-    return map_texts(slim, make, "doc_id long, text_hash long, cls long, keys array<long>")
+def simhash_candidates(marked: DataFrame, distance: int) -> DataFrame:
+    """Edges (u, v) between classes (cls, fp) whose fingerprints differ in at most distance bits."""
+    prints = marked.select("cls", "fp").distinct()
+    classes = written(prints.groupBy("fp").agg(F.min("cls").alias("rep")), "near-copies-prints")
+    n, both = bit_counts(classes)
+    same = prints.join(classes, "fp").where("cls != rep").select(F.col("cls").alias("u"), F.col("rep").alias("v"))
+    return same.union(fingerprint_links(classes, distance, plan(n, both, distance)))
 
 
-def rooted_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, text_hash and root (the same for all of a component) of each document with an id."""
+def rooted_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 3, few: int = FEW) -> DataFrame:
+    """doc_id, text_hash and root (the same for all of a component) of each document with an id.
+
+    The texts of candidates are found by a join with their ids: broadcast if they are at most `few`, else merged.
+    """
     marked = written(marked_documents(docs, words).where("doc_id IS NOT NULL"), "near-copies")
     least = F.min(F.struct("doc_id", "text_hash")).alias("k")
     classes = written(marked.groupBy("cls").agg(least, F.first("keys").alias("keys")).select("cls", "k.*", "keys"), "near-copies-classes")
-    grouped = components(candidates(classes), "near-copies-candidates")
-    wanted = classes.select("cls", "doc_id", "text_hash").join(grouped, F.col("cls") == F.col("node")).select("cls", "doc_id", "text_hash", "root")
+    grouped = components(candidates(classes).union(simhash_candidates(marked, distance)), "near-copies-candidates")
+    wanted = written(classes.select("cls", "doc_id", "text_hash").join(grouped, F.col("cls") == F.col("node")).select("cls", "doc_id", "text_hash", "root"), "near-copies-wanted")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"), text_hash("text").alias("text_hash"))
-    texts = slim.join(wanted.hint("merge"), ["doc_id", "text_hash"]).select("cls", "root", "text").dropDuplicates(["cls"])  # the candidates grow with the documents
+    met = F.broadcast(wanted) if wanted.count() <= few else wanted.hint("merge")
+    texts = slim.join(met, ["doc_id", "text_hash"]).select("cls", "root", "text")
 
     def make(block: pa.RecordBatch) -> list[pa.Array]:
         found = [shingles(t, words) for t in block.column("text").to_pylist()]
         ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
         return [block.column("cls"), block.column("root"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))]
 
-    sets = written(map_texts(texts, make, "cls long, root long, shingles array<long>"), "near-copies-sets")
+    sets = written(map_texts(texts, make, "cls long, root long, shingles array<long>").dropDuplicates(["cls"]), "near-copies-sets")
     found = components(links(sets, similarity), "near-copies-components")
     return marked.join(found, F.col("cls") == F.col("node"), "left").select("doc_id", "text_hash", F.coalesce("root", "cls").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 3) -> DataFrame:
     """doc_id and component_id (the least id of the component) of each document with an id."""
-    rooted = written(rooted_documents(docs, words, similarity), "near-copies-rooted")
+    rooted = written(rooted_documents(docs, words, similarity, distance), "near-copies-rooted")
     named = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(named, "root").select("doc_id", "component_id")
+
+
+def kept_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 3, few: int = FEW) -> DataFrame:
+    """One document of each group of near-duplicates, that of the least id, with all columns.
+
+    Rows that repeat stay once; ids that repeat over different texts are told apart. Documents without an id are kept.
+    Null, empty and wordless texts are one group; an empty table stays empty.
+    """
+    return kept_of(docs, rooted_documents(docs, words, similarity, distance, few), few)

@@ -121,13 +121,75 @@ def test_links_lose_nothing(spark, distance):
         assert sorted(b for g in groups for b in g) == list(range(64))
         _, thresholds = simhash.allocate(n, both, groups, distance)
         assert sum(thresholds) == distance - m + 1
-        if max(thresholds) > 1:
+        if max(thresholds) > 1:  # test_thresholds_above_one has these, with fewer fingerprints
             continue
         chosen = [(g, t) for g, t in zip(groups, thresholds, strict=True) if t >= 0]
         found = simhash.links(classes, distance, chosen).collect()
         assert roots(range(len(values)), [(r.u, r.v) for r in found]) == expected
 
 
+@pytest.mark.parametrize("distance,m", [(2, 1), (5, 2), (3, 2)])
+def test_thresholds_above_one(spark, distance, m):
+    draw = random.Random(distance + m)
+    values = set()
+    for _ in range(6):
+        centre = draw.getrandbits(64)
+        values |= {centre ^ sum({1 << draw.randrange(64) for _ in range(draw.randrange(5))}) for _ in range(6)}
+    values = sorted(values)
+    classes = spark.createDataFrame([(simhash._signed(v), k) for k, v in enumerate(values)], "fp long, rep long")
+    groups = [list(range(k * 64 // m, (k + 1) * 64 // m)) for k in range(m)]
+    thresholds = {(2, 1): [2], (5, 2): [2, 2], (3, 2): [2, 0]}[distance, m]
+    assert sum(thresholds) == distance - m + 1
+    found = simhash.links(classes, distance, list(zip(groups, thresholds))).collect()
+    expected = roots(range(len(values)), [(a, b) for a in range(len(values)) for b in range(a) if (values[a] ^ values[b]).bit_count() <= distance])
+    assert roots(range(len(values)), [(r.u, r.v) for r in found]) == expected
+
+
+def test_unequal_thresholds_on_skewed_fingerprints(spark):
+    """Thirty bits that seldom vary: their partitions tell little, and the plan that leaves them out loses no link."""
+    draw = np.random.default_rng(12)
+    bits = draw.random((20_000, 64)) < np.where(np.arange(64) < 30, 0.01, 0.5)
+    values = np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64)
+    near = values[:300] ^ (np.uint64(1) << draw.integers(0, 64, 300).astype(np.uint64)) ^ (np.uint64(1) << draw.integers(0, 64, 300).astype(np.uint64))
+    values = np.unique(np.concatenate([values, near]))
+    classes = spark.createDataFrame([(int(v), k) for k, v in enumerate(values.view(np.int64))], "fp long, rep long")
+    n, both = simhash.bit_counts(classes)
+    chosen = simhash.plan(n, both, 3)
+    assert len({t for _, t in chosen}) > 1 or sum(len(g) for g, _ in chosen) < 64
+    links = []
+    for k in range(0, len(values), 500):
+        a, b = np.nonzero(np.bitwise_count(values[k : k + 500, None] ^ values[None, :]) <= 3)
+        links += [(int(x) + k, int(y)) for x, y in zip(a, b) if x + k != y]
+    found = simhash.links(classes, 3, chosen).collect()
+    assert roots(range(len(values)), [(r.u, r.v) for r in found]) == roots(range(len(values)), links)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_candidates_are_estimated_where_bits_go_together(seed):
+    """Sixteen bits in four groups of four that nearly agree: independence would be low by orders of magnitude."""
+    draw = np.random.default_rng(seed)
+    base = np.repeat(draw.random((6000, 4)) < 0.4, 4, axis=1) ^ (draw.random((6000, 16)) < 0.02)
+    bits = np.zeros((6000, 64))
+    bits[:, :16] = base
+    both = bits.T @ bits
+    some = bits[:, :16] @ (1 << np.arange(16))
+    for threshold in (0, 1):
+        differ = np.bitwise_count(some.astype(np.int64)[:, None] ^ some.astype(np.int64)[None, :])
+        real = ((differ <= threshold).sum() - 6000) / 2
+        assert 0.5 * real < simhash.candidates(6000, both, list(range(16)), threshold) < 2 * real
+
+
+def test_hot_nodes_are_split(spark, monkeypatch):
+    import millrace.llm.components as module
+
+    monkeypatch.setattr(module, "HOT_EDGES", 5)
+    draw = random.Random(6)
+    links = [(0, k) for k in range(1, 200)] + [(500, 300 + k) for k in range(100)] + [(draw.randrange(600, 700), draw.randrange(600, 700)) for _ in range(90)]
+    found = components(spark.createDataFrame(links, "u long, v long")).collect()
+    real = [(a, b) for a, b in links if a != b]
+    assert {r.node: r.root for r in found} == roots({n for link in real for n in link}, real)
+
+
 def test_thresholds_follow_the_number_of_candidates():
     even = lambda n: np.full((64, 64), n / 4) + np.eye(64) * n / 4
     few, many = (simhash.plan(n, even(n), 3) for n in (10**4, 10**11))
@@ -143,9 +205,16 @@ def brute_vectors(rows, least):
     usable = [(k, np.array(v, float)) for k, (_, v) in enumerate(rows) if v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     links = [(a, b) for a, u in usable for b, v in usable if a < b and len(u) == len(v) and u @ v / (np.linalg.norm(u) * np.linalg.norm(v)) >= least]
     counts = Counter(k for link in links for k in link)
-    named = [(rows[a][0], rows[b][0]) for a, b in links if rows[a][0] is not None and rows[b][0] is not None]
-    root = roots({i for i, _ in rows if i is not None}, named)
-    return Counter((i, counts[k], root.get(i), i is not None and root[i] == i) for k, (i, _) in enumerate(rows))
+    same = {}
+    for k, (i, _) in enumerate(rows):  # rows of one id are one node
+        links += [(k, same.setdefault(i, k))] if i is not None else []
+    root = roots(range(len(rows)), links)
+    least_id = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least_id[root[k]] = min(i, least_id.get(root[k], i))
+    found = [None if i is None else least_id[root[k]] for k, (i, _) in enumerate(rows)]
+    return Counter((i, counts[k], found[k], i is not None and found[k] == i) for k, (i, _) in enumerate(rows))
 
 
 def test_vectors(spark):
@@ -163,11 +232,38 @@ def test_vectors(spark):
     assert embed_dedup.near_duplicates(vectors.limit(0)).collect() == []
 
 
+def test_ids_beyond_doubles_beside_null_ids(spark):
+    draw = np.random.default_rng(8)
+    centre = draw.standard_normal(16)
+    rows = [(i, (centre + 0.01 * draw.standard_normal(16)).tolist()) for i in (2**53 + 1, 2**53 + 3, 2**53 + 5, None, -(2**60) - 1)]
+    found = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert Counter(tuple(r) for r in found) == brute_vectors(rows, 0.9)
+
+
+def test_recall_over_embeddings(spark):
+    """The query's own table against brute force."""
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in table.collect()]
+    found = embed_dedup.near_duplicates(table).collect()
+    assert Counter(tuple(r) for r in found) == brute_vectors(rows, 0.9)
+
+
+@pytest.mark.parametrize("large", [50, 10**6])
+def test_large_components_are_checked_by_buckets(spark, monkeypatch, large):
+    draw = np.random.default_rng(11)
+    centre = draw.standard_normal(16)
+    rows = [(k, (centre + 0.1 * draw.standard_normal(16)).tolist()) for k in range(120)] + [(500 + k, draw.standard_normal(16).tolist()) for k in range(100)]
+    monkeypatch.setattr(embed_dedup, "LARGE", large)
+    found = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    exact = [(i, np.array(v, np.float32).astype(float).tolist()) for i, v in rows]
+    assert Counter(tuple(r) for r in found.collect()) == brute_vectors(exact, 0.9)
+
+
 def test_large_buckets_are_split(spark, monkeypatch):
     draw = np.random.default_rng(5)
     centre = draw.standard_normal(16)
     rows = [(k, (centre + 0.08 * draw.standard_normal(16)).tolist()) for k in range(120)]
-    monkeypatch.setattr(embed_dedup, "blocked", lambda *a, **b: grouped.blocked(*a, **b, most=25))
+    monkeypatch.setattr(embed_dedup, "blocked", lambda rows, keys, spread, most=0, label="": grouped.blocked(rows, keys, spread, 25, label))
     found = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert Counter(tuple(r) for r in found) == brute_vectors(rows, 0.9)
 

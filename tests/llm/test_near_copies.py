@@ -72,6 +72,22 @@ def test_pairs_at_the_threshold_share_a_key():
     assert met >= 998
 
 
+def test_merged_joins_keep_the_same(spark, documents):
+    ids = lambda kept: sorted((r.doc_id, r.text) for r in kept.collect())
+    assert ids(near_copies.kept_documents(documents, few=0)) == ids(near_copies.kept_documents(documents))
+
+
+def test_simhash_links_are_candidates(spark, monkeypatch):
+    """Without minimum hashes, pairs within the fingerprints' distance are still found, and others aren't."""
+    monkeypatch.setattr(near_copies, "candidates", lambda classes: classes.where("false").select(classes.cls.alias("u"), classes.cls.alias("v")))
+    text = [f"{w}{k % 7}" for k, w in enumerate(words(3, 900).split())]
+    rows = [(1, " ".join(text)), (2, " ".join(text[:-1])), (3, words(8, 300))]
+    prints = [simhash.fingerprint(t, 5) for _, t in rows]
+    assert (prints[0] ^ prints[1]).bit_count() <= 3 < (prints[0] ^ prints[2]).bit_count()
+    found = near_copies.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == {1: 1, 2: 1, 3: 3}
+
+
 def test_ids_that_repeat_over_different_texts(spark):
     one, two, three = (words(k, 200) for k in (1, 2, 3))
     rows = [(1, one), (1, two), (1, two), (2, one), (2, three), (3, two), (None, one)]
