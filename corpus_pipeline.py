@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, near_copies, packing, quality, secret_scan, simhash
+from millrace.llm import langid, near_copies, packing, quality, secret_scan
 from millrace.llm.common import table, written
 
 
@@ -26,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: texts whose sets of five-word shingles have a similarity of 0.8."""
-    return simhash.kept_of(docs, near_copies.rooted_documents(docs, words=5, similarity=0.8))
+    return near_copies.kept_documents(docs, words=5, similarity=0.8, distance=3)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
