@@ -9,6 +9,8 @@ import sys
 import time
 from typing import TextIO
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from millrace.errors import QueryError
@@ -41,6 +43,9 @@ def repl(engine: Engine, lines: TextIO, prompt: bool = False) -> None:
         except QueryError as error:
             print(f"error: {error}", file=engine.out)
             continue
+        except (PySparkException, Py4JError) as error:  # what only shows when the query runs
+            print(f"error: {str(error).strip().splitlines()[0]}", file=engine.out)
+            continue
         print(f"{time.time() - began:.2f} s", file=engine.out)
 
 
@@ -48,11 +53,11 @@ def main(arguments: list[str] | None = None) -> None:
     options = argparse.ArgumentParser(description=__doc__)
     options.add_argument("--root", help="folder of the catalog and its tables")
     options.add_argument("--parquet", help="folder of Parquet tables to register")
-    options.add_argument("--reorder", action="store_true", help="order joins by estimates")
+    options.add_argument("--joins", choices=["sizes", "collected", "standard", "written"], default="sizes", help="what joins are ordered by")
     options.add_argument("--strict", action="store_true", help="keep ints and doubles apart in predicates")
     options.add_argument("--flat", action="store_true", help="arithmetic without precedence, bound to the right")
     chosen = options.parse_args(arguments)
-    engine = Engine(SparkSession.builder.getOrCreate(), chosen.root, chosen.reorder, chosen.strict, "flat_right" if chosen.flat else "standard")
+    engine = Engine(SparkSession.builder.getOrCreate(), chosen.root, chosen.joins, chosen.strict, "flat_right" if chosen.flat else "standard")
     if chosen.parquet:
         engine.register_folder(chosen.parquet, [os.path.basename(p).removesuffix(".parquet") for p in glob.glob(f"{chosen.parquet}/*.parquet")])
     repl(engine, sys.stdin, sys.stdin.isatty())

@@ -7,14 +7,16 @@ exchanged, with a JSON file beside it for what the blocks can't say.
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import dataclass, replace
 
+from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
 from millrace.errors import QueryError
 from millrace.functions.expressions import kind_of
 
+from . import files
+
 # The words for kinds in catalog files.
 WORDS = {"int": "Int", "double": "Double", "string": "String"}
 TYPES = {"int": T.LongType(), "double": T.DoubleType(), "string": T.StringType()}
@@ -61,25 +63,26 @@ def format_catalog(tables: list[TableInfo]) -> str:
 
 
 class Catalog:
-    """The tables of a root folder; without one, they live in memory only."""
+    """The tables of a root folder, in any store that Spark reaches; without one, they live in memory only."""
 
-    def __init__(self, root: str | None = None):
-        self.root, self.tables = root, {}
+    def __init__(self, root: str | None = None, spark: SparkSession | None = None):
+        self.root, self.tables = root and root.rstrip("/"), {}
         if root:
-            os.makedirs(root, exist_ok=True)
-            if os.path.exists(self._file):
-                with open(self._file) as text, open(self._side) as side:
-                    more = json.load(side)
-                    for name, (source, columns) in parse_catalog(text.read()).items():
+            self.spark = spark or SparkSession.active()
+            files.make_folder(self.spark, self.root)
+            if files.exists(self.spark, self._file):
+                more = json.loads(files.read_text(self.spark, self._side))
+                for name, (source, columns) in parse_catalog(files.read_text(self.spark, self._file)).items():
+                    if name in more:  # the JSON file is written first: a table is there once both have it
                         self.tables[name] = TableInfo(name, columns, more[name]["path"], tuple(more[name]["sort_columns"]), source)
 
     @property
     def _file(self) -> str:
-        return os.path.join(self.root, "catalog")
+        return f"{self.root}/catalog"
 
     @property
     def _side(self) -> str:
-        return os.path.join(self.root, "catalog.json")
+        return f"{self.root}/catalog.json"
 
     def __getitem__(self, name: str) -> TableInfo:
         if name not in self.tables:
@@ -108,10 +111,9 @@ class Catalog:
     def _save(self) -> None:
         if not self.root:
             return
-        for path, text in ((self._file, format_catalog(list(self.tables.values()))), (self._side, json.dumps({t.name: {"path": t.path, "sort_columns": t.sort_columns} for t in self.tables.values()}, indent=1))):
-            with open(f"{path}.new", "w") as out:
-                out.write(text)
-            os.replace(f"{path}.new", path)
+        more = {t.name: {"path": t.path, "sort_columns": t.sort_columns} for t in self.tables.values()}
+        files.write_text(self.spark, self._side, json.dumps(more, indent=1))
+        files.write_text(self.spark, self._file, format_catalog(list(self.tables.values())))
 
 
 def columns_of(schema: T.StructType) -> tuple[tuple[str, str], ...]:

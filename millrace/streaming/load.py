@@ -5,28 +5,30 @@ Operators that keep no state (select_pipe, project) take the frames made here as
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.session import Engine
-from millrace.sources.catalog import columns_of
-from millrace.sources.tables import ZERO
+from millrace.sources.tables import fields_of
 
 
 def stream_delimited(spark: SparkSession, folder: str, schema: T.StructType, files_at_once: int | None = None) -> DataFrame:
     """Rows of the bar-delimited files that appear in folder, read as read_delimited reads one."""
-    wide = T.StructType([*schema.fields, T.StructField("_end", T.StringType())])
-    reader = spark.readStream.schema(wide).option("sep", "|").option("quote", "").option("mode", "FAILFAST")
+    reader = spark.readStream
     if files_at_once:
         reader = reader.option("maxFilesPerTrigger", files_at_once)
-    kinds = dict(columns_of(schema))
-    return reader.csv(folder).select(*[F.coalesce(F.col(f"`{f.name}`"), F.lit(ZERO[kinds[f.name]]).cast(f.dataType)).alias(f.name) for f in schema.fields])
+    return fields_of(reader.text(folder), schema)
 
 
 def load_continuously(engine: Engine, folder: str, table: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Add each file that appears in folder to a table, one batch at a time; once stops when all there are is loaded."""
+    """Add each file that appears in folder to a table, one batch at a time; once stops when all there are is loaded.
+
+    A batch is a load named by the checkpoint and its number, so one that is tried again replaces what it left.
+    """
     rows = stream_delimited(engine.spark, folder, engine.catalog[table].schema)
-    writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: engine.append(table, batch))
+    stream = hashlib.sha1(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+    writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, number: engine.append(table, batch, f"stream-{stream}-{number:012d}"))
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -5,18 +5,24 @@ Sums of doubles are rounded to cents on both sides, as the order of a parallel s
 
 from __future__ import annotations
 
+import io
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import relational as ops
+from millrace.plans.standard import standard_statistics
 from millrace.session import Engine
+from millrace.sources import files
 from millrace.sources.catalog import TableInfo, columns_of
 from millrace.sources.tables import Store, read_delimited, write_delimited
+from millrace.streaming.load import load_continuously
 
 # The tables' columns.
 SCHEMAS = {
@@ -63,6 +69,10 @@ STATEMENTS = {
     "distinct_1": "SELECT DISTINCT c.c_mktsegment FROM customer AS c WHERE (c.c_custkey > 0)",
     "distinct_2": "SELECT DISTINCT l.l_returnflag, l.l_linestatus FROM lineitem AS l WHERE (l.l_orderkey > 0)",
     "distinct_join": "SELECT DISTINCT r.r_name, p.p_brand FROM region AS r, nation AS n, supplier AS s, lineitem AS l, part AS p WHERE (r.r_regionkey = n.n_regionkey) AND (n.n_nationkey = s.s_nationkey) AND (s.s_suppkey = l.l_suppkey) AND (l.l_partkey = p.p_partkey) AND (p.p_size < 3)",
+    "sum_double_div": "SELECT SUM(l.l_extendedprice / l.l_quantity) FROM lineitem AS l WHERE (l.l_quantity > 0.0)",
+    "no_where": "SELECT r.r_regionkey, r.r_name FROM region AS r",
+    "cross_product": "SELECT r.r_name, n.n_name FROM region AS r, nation AS n",
+    "join_empty_input": "SELECT s.s_name, n.n_name FROM supplier AS s, nation AS n WHERE (s.s_nationkey = n.n_nationkey) AND (n.n_nationkey > 1000)",
     "point_lookup": "SELECT o.o_orderkey, o.o_custkey, o.o_orderstatus FROM orders AS o WHERE (o.o_orderkey = 77)",
 }
 
@@ -72,6 +82,7 @@ HEADS = {
     "sum_double": 'SELECT ROUND(COALESCE(SUM(l.l_extendedprice * l.l_discount), 0.0), 2) AS "sum"',
     "sum_int": 'SELECT CAST(COALESCE(SUM(l.l_linenumber), 0) AS BIGINT) AS "sum"',
     "sum_int_div": 'SELECT CAST(COALESCE(SUM(n.n_nationkey // 2), 0) AS BIGINT) AS "sum"',
+    "sum_double_div": 'SELECT ROUND(COALESCE(SUM(l.l_extendedprice / l.l_quantity), 0.0), 2) AS "sum"',
     "sum_unary_minus": 'SELECT ROUND(COALESCE(SUM(-(s.s_acctbal)), 0.0), 2) AS "sum"',
     "sum_empty_zero": 'SELECT ROUND(COALESCE(SUM(s.s_acctbal), 0.0), 2) AS "sum"',
     "sum_distinct": 'SELECT ROUND(COALESCE(SUM(DISTINCT l.l_quantity), 0.0), 2) AS "sum"',
@@ -99,8 +110,12 @@ def _frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+    """A new folder that driver and executors share; a local session without one gets a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -141,6 +156,90 @@ def sorted_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.select_pipe(store.scan(table), "(p_size = 7)").select("p_partkey", "p_name", "p_brand")
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Sorted rows with their place."""
+    return rows.coalesce(1).withColumn("place", F.monotonically_increasing_id())
+
+
+def heap_scan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations in the order in which a folder of three files and then a file came into a heap."""
+    folder, nations, store = _scratch(spark, "heap-order"), _frame(spark, sf_dir, "nation"), Store(spark)
+    for k in range(3):
+        write_delimited(nations.where(f"n_regionkey = {k}").coalesce(1).sortWithinPartitions(F.desc("n_nationkey")), f"{folder}/text/{k}")
+    write_delimited(nations.where("n_regionkey > 2").coalesce(1).sortWithinPartitions("n_nationkey"), f"{folder}/more")
+    heap = TableInfo("nation", columns_of(nations.schema), f"{folder}/heap.parquet")
+    store.create(heap)
+    store.load(heap, f"{folder}/text/*")
+    store.load(heap, f"{folder}/more")
+    return _numbered(store.scan(heap, ordered=True)).select("place", "n_nationkey")
+
+
+def sorted_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers in the order of the keys of a sorted table, loaded three times and then compacted."""
+    folder, suppliers, store = _scratch(spark, "sorted-scan"), _frame(spark, sf_dir, "supplier"), Store(spark)
+    table = TableInfo("supplier", columns_of(suppliers.schema), f"{folder}/supplier.parquet", ("s_nationkey", "s_suppkey"))
+    store.create(table)
+    for k in range(3):
+        store.append(table, suppliers.where(f"s_suppkey % 3 = {k}"))
+    merged = replace(table, path=store.compacted(table))
+    return _numbered(store.scan(merged, ordered=True)).select("place", "s_nationkey", "s_suppkey")
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables made, filled from text and dropped by statements, and a SELECT over those that are left."""
+    folder, engine = _scratch(spark, "statements"), None
+    for name in ("region", "nation"):
+        write_delimited(_frame(spark, sf_dir, name), f"{folder}/{name}.tbl")
+    engine = Engine(spark, f"{folder}/db", out=io.StringIO())
+    for text in (
+        "CREATE TABLE r (k INTEGER, name STRING) AS HEAP;",
+        "CREATE TABLE n (k INTEGER, name STRING, r INTEGER) AS SORTED ON r, k;",
+        "CREATE TABLE gone (k INTEGER) AS HEAP;",
+        f"INSERT '{folder}/region.tbl' INTO r;",
+        f"INSERT '{folder}/nation.tbl' INTO n;",
+        f"INSERT '{folder}/nation.tbl' INTO n;",
+        "DROP TABLE gone;",
+        "SET OUTPUT NONE;",
+    ):
+        engine.run(text)
+    again = Engine(spark, f"{folder}/db")
+    assert sorted(again.catalog.tables) == ["n", "r"]
+    return again.sql("SELECT SUM(n.k), r.name FROM n AS n, r AS r WHERE (n.r = r.k) GROUP BY r.name")
+
+
+def output_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SET OUTPUT leaves in a file that two SELECTs wrote: the rows of the second."""
+    folder, engine = _scratch(spark, "output"), Engine(spark, out=io.StringIO())
+    engine.register_folder(sf_dir, ["region", "nation"], SCHEMAS)
+    for text in (f"SET OUTPUT '{folder}';", "SELECT n.n_name FROM nation AS n", "SELECT r.r_regionkey, r.r_name FROM region AS r WHERE (r.r_regionkey > 1)"):
+        engine.run(text)
+    return spark.read.text(folder)
+
+
+def stream_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that arrive as text files, loaded into a heap as a stream, and one batch of them tried again."""
+    folder, parts = _scratch(spark, "stream"), _frame(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
+    engine = Engine(spark, f"{folder}/db", out=io.StringIO())
+    engine.run("CREATE TABLE p (p_partkey INTEGER, p_name STRING, p_retailprice DOUBLE) AS HEAP;")
+    for k in range(2):
+        write_delimited(parts.where(f"p_partkey % 2 = {k}"), f"{folder}/in/{k}")
+        load_continuously(engine, f"{folder}/in/*", "p", f"{folder}/checkpoint", once=True).awaitTermination()
+    files.delete(spark, f"{folder}/checkpoint/commits/1")
+    load_continuously(engine, f"{folder}/in/*", "p", f"{folder}/checkpoint", once=True).awaitTermination()
+    return engine.table("p")
+
+
+def estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cardinalities that the estimator gives for the standard tables, applied step by step."""
+    rows = []
+    for name, steps in ESTIMATES.items():
+        known = standard_statistics()
+        for cnf, rels in steps[:-1]:
+            known.apply(cnf, rels)
+        rows.append((name, round(known.estimate(*steps[-1]))))
+    return spark.createDataFrame(rows, "name string, rows long")
+
+
 def written_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier rows as the text output writes them."""
     folder = _scratch(spark, "lines")
@@ -150,11 +249,19 @@ def written_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reordered_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four-way join in the order that estimates choose."""
-    engine = Engine(spark, reorder=True)
+    engine = Engine(spark, joins="collected")
     engine.register_folder(sf_dir, ["customer", "orders", "nation", "region"], SCHEMAS)
     return engine.sql(STATEMENTS["join_4way"])
 
 
+#: name -> (predicate, relations) of each step; all but the last are applied, the last one is estimated.
+ESTIMATES = {
+    "orders_customer_nation": [("(c_custkey = o_custkey)", ["orders", "customer"]), ("(c_nationkey = n_nationkey)", ["orders", "customer", "nation"])],
+    "partsupp_supplier_nation": [("(s_suppkey = ps_suppkey)", ["partsupp", "supplier"]), ("(s_nationkey = n_nationkey) AND (n_name = 'AMERICA')", ["partsupp", "supplier", "nation"])],
+    "part_partsupp_or": [("(p_partkey = ps_partkey) AND (p_size = 3 OR p_size = 6 OR p_size = 19)", ["part", "partsupp"])],
+    "orders_lineitem_range": [("(l_receiptdate > '1995-02-01') AND (l_orderkey = o_orderkey)", ["orders", "lineitem"])],
+}
+
 #: name -> (query, DuckDB SQL)
 OPERATORS = {
     "sort_descending": (sort_descending, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC"),
@@ -162,6 +269,16 @@ OPERATORS = {
     "delimited_round_trip": (delimited_round_trip, "SELECT * FROM customer"),
     "heap_load": (heap_load, "SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal FROM (FROM supplier UNION ALL FROM supplier) WHERE s_nationkey < 12"),
     "sorted_lookup": (sorted_lookup, "SELECT p_partkey, p_name, p_brand FROM part WHERE p_size = 7"),
+    "heap_scan_order": (
+        heap_scan_order,
+        "SELECT row_number() OVER (ORDER BY least(n_regionkey, 3), CASE WHEN n_regionkey < 3 THEN -n_nationkey ELSE n_nationkey END) - 1 AS place, CAST(n_nationkey AS BIGINT) AS n_nationkey FROM nation",
+    ),
+    "sorted_scan": (sorted_scan, "SELECT row_number() OVER (ORDER BY s_nationkey, s_suppkey) - 1 AS place, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_suppkey FROM supplier"),
+    "statements": (statements, 'SELECT CAST(2 * SUM(n_nationkey) AS BIGINT) AS "sum", r_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name'),
+    "output_file": (output_file, "SELECT 'r_regionkey: [' || r_regionkey || '], r_name: [' || r_name || ']' AS value FROM region WHERE r_regionkey > 1"),
+    "stream_load": (stream_load, "SELECT p_partkey, p_name, p_retailprice FROM part"),
+    # Cardinalities by hand from the standard counts: rows multiplied, divided by the larger distinct count of each equality.
+    "estimates": (estimates, "SELECT * FROM (VALUES ('orders_customer_nation', 1500000::BIGINT), ('partsupp_supplier_nation', 32000), ('part_partsupp_or', 48000), ('orders_lineitem_range', 2000405)) AS t(name, rows)"),
     "written_lines": (written_lines, "SELECT 's_suppkey: [' || s_suppkey || '], s_name: [' || s_name || '], s_acctbal: [' || printf('%.6f', s_acctbal) || ']' AS value FROM supplier"),
     "reordered_join": (reordered_join, STATEMENTS["join_4way"]),
 }

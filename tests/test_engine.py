@@ -3,8 +3,10 @@
 import io
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import types as T
 
+from millrace import suite
 from millrace.errors import QueryError
 from millrace.operators import relational as ops
 from millrace.cli import repl, statements
@@ -125,7 +127,7 @@ def test_string_order_is_by_bytes(spark):
 
 
 def test_reordering_keeps_results(spark, engine):
-    other = Engine(spark, reorder=True)
+    other = Engine(spark, joins="collected")
     other.frames = engine.frames
     for text in ("SELECT t.k, u.v, w.z FROM t AS t, u AS u, w AS w WHERE (t.s = u.s) AND (u.k = w.k)", "SELECT SUM(t.d), w.z FROM w AS w, u AS u, t AS t WHERE (t.k = w.k) AND (u.s = t.s) AND (u.v > 5) GROUP BY w.z", "SELECT t.k, w.z FROM t AS t, w AS w WHERE (t.k > w.k)"):
         assert rows(other.sql(text)) == rows(engine.sql(text))
@@ -157,6 +159,29 @@ def test_delimited_text(spark, tmp_path):
     assert rows(read_delimited(spark, str(tmp_path / "y.tbl"), schema)) == rows(found)
 
 
+def test_odd_lines(spark, tmp_path):
+    schema = T.StructType.fromDDL("k long, s string")
+    for text in ("3|c|d|\n", "3|c\n", "3|\n", "3|c||\n", "x|c|\n"):
+        (tmp_path / "x.tbl").write_text("1|a|\n" + text)
+        with pytest.raises(PySparkException):
+            read_delimited(spark, str(tmp_path / "x.tbl"), schema).collect()
+    (tmp_path / "x.tbl").write_text("1||\n\n2|b|\n")
+    assert rows(read_delimited(spark, str(tmp_path / "x.tbl"), schema)) == [(1, ""), (2, "b")]
+    (tmp_path / "x.tbl").write_text("|1|\n2020-01-02 03:04:05|2|\n")
+    times = read_delimited(spark, str(tmp_path / "x.tbl"), T.StructType.fromDDL("t timestamp_ntz, k long"))
+    assert [r.t and str(r.t) for r in times.orderBy("k").collect()] == [None, "2020-01-02 03:04:05"]
+
+
+def test_nulls_and_bars_are_written_or_refused(spark, tmp_path):
+    schema = "k long, d double, s string, t timestamp_ntz"
+    nulls = spark.createDataFrame([(1, 2.5, "a", None), (None, None, None, None), (3, None, "c", None)], schema)
+    write_delimited(nulls, str(tmp_path / "n"))
+    assert rows(read_delimited(spark, str(tmp_path / "n"), nulls.schema)) == [(0, 0.0, "", None), (1, 2.5, "a", None), (3, 0.0, "c", None)]
+    for bad in ("a|b", "a\nb"):
+        with pytest.raises(PySparkException):
+            write_delimited(spark.createDataFrame([(bad,)], "s string"), str(tmp_path / f"bad{len(bad)}{bad[1] == '|'}"))
+
+
 def test_heap_keeps_order(spark, tmp_path):
     (tmp_path / "x.tbl").write_text("".join(f"{k}|n{k}|\n" for k in (5, 3, 9, 1)))
     engine = Engine(spark, str(tmp_path / "db"), out=io.StringIO())
@@ -193,6 +218,69 @@ def test_sorted_table_merges(spark, tmp_path):
     assert rows(plan) == sorted((s,) for s, k in everything if k == 7)
 
 
+def test_lookup_skips_row_groups(spark, tmp_path):
+    """Of 5,000 rows in narrow key ranges, a lookup's scan gives out those of the files and row groups that may hold the key."""
+    engine = Engine(spark, str(tmp_path / "db"), out=io.StringIO())
+    engine.run("CREATE TABLE t (k INTEGER, s STRING) AS SORTED ON k;")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as many ranges as a large load has
+    for load in range(2):
+        engine.append("t", spark.range(2500).selectExpr(f"2 * id + {load} AS k", "string(id) AS s"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = engine.sql("SELECT t.s FROM t AS t WHERE (t.k = 1234)")
+    plan = found._jdf.queryExecution().executedPlan()
+    assert rows(found) == [("617",)]
+    found.collect()
+    leaves, scanned = plan.collectLeaves(), []
+    for k in range(leaves.size()):
+        metrics = leaves.apply(k).metrics()
+        if metrics.contains("numOutputRows"):
+            scanned.append(metrics.apply("numOutputRows").value())
+    assert scanned and 0 < sum(scanned) <= 5000 / 4
+
+
+def test_compacting_and_replaced_loads(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "db"), out=io.StringIO())
+    engine.run("CREATE TABLE t (k INTEGER, s STRING) AS SORTED ON k;")
+    for load in ("one", "two", "one"):
+        engine.append("t", [(k, load) for k in range(3)], load)
+    expected = sorted((k, load) for load in ("one", "two") for k in range(3))
+    before = engine.catalog["t"].path
+    assert rows(engine.table("t")) == expected
+    engine.compact("t")
+    assert engine.catalog["t"].path != before and rows(engine.table("t")) == expected and rows(Engine(spark, str(tmp_path / "db")).table("t")) == expected
+    assert not (tmp_path / "db" / before.rpartition("/")[2]).exists()
+
+
+def test_facts_stream_and_dimensions_are_built(spark):
+    """The largest table of a join is no build side, whatever the order in which tables are written."""
+    engine = Engine(spark)
+    engine.register_folder("/root/testdata/sf0.01", ["customer", "orders", "lineitem", "supplier", "nation", "part", "region"])
+    for name in ("join_cycle", "distinct_join", "join_4way", "group_by_join"):
+        found = engine.plan(suite.STATEMENTS[name])
+        first = next(line for line in found.root.lines() if line.startswith("  table: "))
+        assert first.startswith("  table: lineitem") or name == "join_4way" and first.startswith("  table: orders")
+        plan = found.frame._jdf.queryExecution().executedPlan().toString()
+        assert "BuildLeft" not in plan
+
+
+def test_or_of_equalities_is_a_union_of_joins(engine):
+    found = engine.sql("SELECT t.k, u.v FROM t AS t, u AS u WHERE (t.k = u.k OR t.s = u.s) AND (u.v < 30)")
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in text and "NestedLoop" not in text
+    t, u = ([tuple(r) for r in engine.frames[n].collect()] for n in "tu")
+    assert rows(found) == sorted((a[0], b[1]) for a in t for b in u if (a[0] == b[2] or a[1] == b[0]) and b[1] < 30)
+
+
+@pytest.mark.parametrize("joins", ["sizes", "collected", "standard", "written"])
+def test_orders_of_joins_give_the_same(spark, engine, joins):
+    other = Engine(spark, joins=joins)
+    other.frames = engine.frames
+    text = "SELECT SUM(t.d), w.z FROM w AS w, u AS u, t AS t WHERE (t.k = w.k) AND (u.s = t.s) AND (u.v > 5) GROUP BY w.z"
+    assert rows(other.sql(text)) == rows(engine.sql(text))
+    with pytest.raises(QueryError):
+        Engine(spark, joins="guesses")
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     engine = Engine(spark)
     engine.register_folder("/root/testdata/sf0.001", ["orders"])
@@ -230,14 +318,20 @@ def test_output(spark, engine, tmp_path):
     engine.run("SELECT t.k FROM t AS t WHERE (t.k = 3)")
     assert rows(spark.read.text(f"{tmp_path}/out")) == [("k: [3]",), ("k: [3]",)]
     assert engine.out.getvalue().endswith("# of Records 2\n")
+    engine.run("SELECT t.k FROM t AS t WHERE (t.k = 1)")
+    assert rows(spark.read.text(f"{tmp_path}/out")) == [("k: [1]",)]
+    console = io.StringIO()
+    assert ops.print_out(spark.createDataFrame([(1, 1234567.0, "a"), (2, 0.1 + 0.2, "b")], "k long, d double, s string").coalesce(1), console) == 2
+    assert console.getvalue() == "k: [1], d: [1.23457e+06], s: [a]\nk: [2], d: [0.3], s: [b]\n"
     engine.run("SET OUTPUT NONE;")
     engine.run("SELECT t.s, u.v FROM t AS t, u AS u WHERE (t.s = u.s)")
     assert engine.out.getvalue().rstrip().endswith("output: pipe 4 (s, v)")
 
 
 def test_prompt(engine):
-    lines = io.StringIO("SET OUTPUT\nSTDOUT;\nSELECT t.k FROM t AS t\nWHERE (t.k = 1)\n\nnonsense;\nQUIT;\nSELECT t.d FROM t AS t;\n")
+    lines = io.StringIO("SET OUTPUT\nSTDOUT;\nSELECT t.k FROM t AS t\nWHERE (t.k = 1)\n\nnonsense;\nSELECT SUM(t.d / (t.k - 1)) FROM t AS t;\nSELECT t.s FROM t AS t WHERE (t.k = 2);\nQUIT;\nSELECT t.d FROM t AS t;\n")
     repl(engine, lines)
     text = engine.out.getvalue()
     assert "k: [1]" in text and "error: expected SELECT" in text and "d: [" not in text
+    assert "DIVIDE_BY_ZERO" in text and "s: [a]" in text
     assert list(statements(io.StringIO("a;\nb\nc"))) == ["a;", "b c"]
