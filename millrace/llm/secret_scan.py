@@ -4,9 +4,15 @@ Base spans come from three patterns (assign, access, hex). The method adds spans
 strings, names and operators of source and configuration syntax into name-literal pairs ("a = 'x'", "a: x" in
 quotes, "a := x", "a => x", typed declarations, subscripts, XML elements, and the unquoted rest of environment, INI,
 properties and YAML lines unless it names a constant or is code: a call, a subscript, or a dotted name without
-digits; after NAME= in capitals nothing counts as code); constants propagate through names and concatenations; and each literal that reaches a sensitive name is scored by that name and by its
-own length, entropy and kinds of characters. With white space it counts for authorization and connection strings by
-its longest part, after an auth scheme, and as a quoted passphrase of three words or more without it. A literal that a base span covers adds none.
+digits; after NAME= in capitals nothing counts as code). Constants propagate through names and concatenations in the
+order of the text: a name stands for what it was given last, or else for what it is given first further down. Literals
+that together reach a sensitive name are scored by that name and by the length, entropy and kinds of characters of
+their concatenation. With white space a literal counts for authorization and connection strings by its longest part,
+after an auth scheme, and as a quoted passphrase of three words or more without it. A literal that a base span covers
+adds none.
+
+A name is sensitive by whole words ("db_password", "apiKey", "authtoken", but not "tokenizer" or "secretary"), unless
+its last word says that it holds something about a secret ("token_path", "password_hint").
 
 Defined results: null and empty texts have no spans and the digest of the empty string; repeated rows are scanned
 one by one; an empty table gives an empty result; other columns aren't read. Spans count code points, ends are
@@ -18,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -36,12 +43,17 @@ KINDS = ("assign", "access", "hex", "literal")
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "secret": 1.0, "apikey": 1.0, "privatekey": 1.0, "accesskey": 1.0, "secretkey": 1.0,
     "token": 0.9, "pwd": 0.9, "credential": 0.9, "connectionstring": 0.8, "authorization": 0.7, "signingkey": 0.9, "encryptionkey": 0.9,
+    "passwords": 1.0, "secrets": 1.0, "credentials": 0.9,
 }
 # Literals that stand for a secret rather than being one.
 PLACEHOLDER = re.compile(r"(?i)^(?:none|null|true|false|nil|undefined|string|str|text|required|optional|your.*|example.*|placeholder.*|x{4,}|\*+|\.+|-+)$|\$\{|\{\{|%\(|^<.*>$|^\$")
 
+# Last words of names that hold something about a secret rather than a secret.
+ABOUT = set("count field file filename folder hint id label length limit name path pattern policy prompt regex size title ttl type uri url".split())
+
 _GATE = ("pass", "pwd", "secret", "token", "key", "credential", "connection", "authorization")
 _SQUASH = re.compile(r"[^a-z]")
+_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _LEX = re.compile(
     r"""(?P<string>"(?:[^"\\\n]|\\.)*"|(?<![A-Za-z0-9_])'(?:[^'\\\n]|\\.)*'|(?<![A-Za-z0-9_])`[^`\n]*`)"""
     r"""|(?P<name>[A-Za-z_$][A-Za-z0-9_$-]*(?:\.[A-Za-z_$][A-Za-z0-9_$-]*)*)"""
@@ -72,9 +84,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def name_weight(name: str) -> float:
-    """How sensitive a target name is, 0 to 1."""
-    flat = _SQUASH.sub("", name.lower())
-    return max((w for stem, w in SENSITIVE.items() if stem in flat), default=0.0)
+    """How sensitive a target name is, 0 to 1: the most that a run of its words, or the end of one, stands for."""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    if not words or words[-1] in ABOUT:
+        return 0.0
+    runs = {"".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, min(i + 3, len(words)) + 1)}
+    return max((w for stem, w in SENSITIVE.items() if any(run == stem or run in words and run.endswith(stem) for run in runs)), default=0.0)
 
 
 def literal_weight(value: str) -> float:
@@ -100,12 +115,12 @@ def spaced_weight(name: str, value: str, quoted: bool) -> float:
 Literal = tuple[int, int]  # where it stands, without quotes
 
 
-def pairs(text: str) -> list[tuple[str, list[Literal | str]]]:
-    """(target name, parts) of each assignment; a part is a literal's place or the name of a constant."""
+def pairs(text: str) -> list[tuple[int, str, list[Literal | str]]]:
+    """(place, target name, parts) of each assignment, in order; a part is a literal's place or the name of a constant."""
     tokens = [(m.lastgroup, m.start(), m.end()) for m in _LEX.finditer(text)]
     word = lambda k: text[tokens[k][1] : tokens[k][2]]
     kind = lambda k: tokens[k][0] if 0 <= k < len(tokens) else None
-    out: list[tuple[str, list[Literal | str]]] = []
+    out: list[tuple[int, str, list[Literal | str]]] = []
     for k in range(1, len(tokens)):
         if kind(k) != "op" or word(k) not in ("=", ":", ":=", "=>"):
             continue
@@ -135,19 +150,22 @@ def pairs(text: str) -> list[tuple[str, list[Literal | str]]]:
                 at += 1
             elif kind(at) != "string" or isinstance(parts[-1], str):
                 break
-        if parts:
-            out.append((target, parts))
+        if parts or word(k) in ("=", ":="):  # a name that is given something else is no constant from there on
+            out.append((tokens[k][1], target, parts))
     for m in _ELEMENT.finditer(text):
-        out.append((m[1], [(m.start(2), m.end(2))]))
+        out.append((m.start(), m[1], [(m.start(2), m.end(2))]))
     lines = [(m, *_unquoted(m)) for m in _LINE.finditer(text)]
-    known = {target for target, _ in out} | {m[1] for m, _, _ in lines}
+    quoted = sorted(part[0] for _, _, parts in out for part in parts if isinstance(part, tuple))
+    known = {target for _, target, _ in out} | {m[1] for m, _, _ in lines}
     for m, start, end in lines:
-        value = text[start:end]
+        value, at = text[start:end], bisect_left(quoted, start)
+        if at < len(quoted) and quoted[at] < end:
+            continue  # an expression with literals, which is read above
         if value in known:
-            out.append((m[1], [value]))
+            out.append((m.start(2), m[1], [value]))
         elif _ENVIRONMENT.match(m[0]) or not _is_code(value):
-            out.append((m[1], [(start, end)]))
-    return out
+            out.append((m.start(2), m[1], [(start, end)]))
+    return sorted(out, key=lambda pair: pair[0])
 
 
 def _unquoted(line: re.Match) -> tuple[int, int]:
@@ -170,29 +188,39 @@ def literal_spans(text: str) -> list[tuple[str, int, int]]:
     if not any(g in low for g in _GATE) or not ("=" in text or ":" in text or "<" in text):
         return []
     found = pairs(text)
-    if not any(name_weight(target) for target, _ in found):
+    if not any(name_weight(target) for _, target, _ in found):
         return []
-    constants: dict[str, list[Literal | str]] = {}
-    for target, parts in found:
-        constants.setdefault(target, []).extend(parts)
+    # Each assignment is a version of its name; names within it mean their version at that place.
+    versions: list[list[Literal | str | int]] = []
+    last: dict[str, int] = {}
+    first: dict[str, int] = {}
+    for k, (_, target, parts) in enumerate(found):
+        versions.append([last.get(p, p) if isinstance(p, str) else p for p in parts])
+        last[target] = k
+        first.setdefault(target, k)
     out = set()
-    for target, parts in found:
+    for k, (_, target, _) in enumerate(found):
         weight = name_weight(target)
         if not weight:
             continue
-        todo, seen = list(parts), {target}
+        reached: list[Literal] = []
+        todo, seen = [k], {k}
         while todo:
             part = todo.pop()
-            if isinstance(part, str):
-                if part not in seen and part in constants:
-                    seen.add(part)
-                    todo += constants[part]
-            else:
-                value = text[part[0] : part[1]]
-                spaced = any(c.isspace() for c in value)
-                score = spaced_weight(target, value, text[part[0] - 1 : part[0]] in ('"', "'", "`")) if spaced else literal_weight(value)
-                if weight + score >= LEAST_SCORE:
-                    out.add(("literal", *part))
+            if isinstance(part, tuple):
+                reached.append(part)
+                continue
+            version = first.get(part) if isinstance(part, str) else part
+            if version is not None and (version == k or version not in seen):
+                seen.add(version)
+                todo += [p for p in reversed(versions[version]) if p != k and (not isinstance(p, str) or first.get(p) != k)]
+        value = "".join(text[i:j] for i, j in reached)
+        if len(reached) == 1 and any(c.isspace() for c in value):
+            score = spaced_weight(target, value, text[reached[0][0] - 1 : reached[0][0]] in ('"', "'", "`"))
+        else:
+            score = literal_weight(value)
+        if weight + score >= LEAST_SCORE:
+            out.update(("literal", *part) for part in reached if part[0] < part[1])
     return sorted(out)
 
 
@@ -241,7 +269,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def redacted_documents(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """docs with secrets in text_col replaced, all other columns as they are."""
+    """docs with secrets in text_col replaced, all other columns as they are.
+
+    Null and empty texts stay as they are, ids aren't read, repeated rows are redacted alike, an empty table stays empty.
+    """
 
     def run(batches):
         for batch in batches:

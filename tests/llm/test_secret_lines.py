@@ -47,3 +47,35 @@ def test_values_with_spaces(text, literal):
 @pytest.mark.parametrize("text", ['Authorization: "Bearer ${AUTH_VALUE}"', 'authorization = "required for all administrators"', 'passphrase_label = "Enter the passphrase now"', "The passphrase: it was said that it grew"])
 def test_other_values_with_spaces(text):
     assert not secret_scan.spans(text)[1]
+
+
+@pytest.mark.parametrize(
+    "text,parts",
+    [
+        ('pwd = "abc1" + "X9zQ77"', ["abc1", "X9zQ77"]),
+        ('db_pwd = "abc12" "X9zQ77kk"', ["abc12", "X9zQ77kk"]),
+        ('A = "Zx81k"\nB = A + "kQ0p2"\nuser_credential = B', ["Zx81k", "kQ0p2"]),
+        ('client.secretKey = LATER\nLATER = "s3cr3tV4lue-9981-abc"', ["s3cr3tV4lue-9981-abc"]),
+        ('x = "first1111AAAA"\nx = "aaaa1111BBBB"\npwd = x', ["aaaa1111BBBB"]),
+        ('authtoken_value = "Zx81kkQ0p2mmN7"', ["Zx81kkQ0p2mmN7"]),
+    ],
+)
+def test_concatenations_and_the_order_of_constants(text, parts):
+    found = [text[i:j] for kind, i, j in secret_scan.spans(text)[1] if kind == "literal"]
+    assert found == parts
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'x = "aaaa1111BBBB"\nx = 5\npwd = x', "tokenizer_path = 'models/word_bpe_49k.json'", 'secretary = "Maria-Lopez2019"', 'max_tokens_key = "model-v2.1-large"', 'password_hint = "My-First-Pet2019"',
+        'pwd = "a" + "b"', 'credential = credential + other',
+    ],
+)
+def test_dead_constants_and_other_names(text):
+    assert not [s for s in secret_scan.spans(text)[1] if s[0] == "literal"]
+
+
+@pytest.mark.parametrize("name,sensitive", [("apiKey", True), ("API_KEY", True), ("dbPassword", True), ("DBPASSWORD", True), ("userpwd", True), ("X-Auth-Token", True), ("credentials", True), ("aws_secret_access_key", True), ("tokens", False), ("tokenizer", False), ("secretary", False), ("token_type", False), ("monkey", False), ("", False)])
+def test_sensitive_names(name, sensitive):
+    assert bool(secret_scan.name_weight(name)) is sensitive
