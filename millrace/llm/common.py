@@ -58,6 +58,25 @@ def drop_written(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of one key that one task of hot_join takes.
+HOT_ROWS = 1 << 16
+
+
+def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, spread: Column, most: int = HOT_ROWS, how: str = "inner") -> DataFrame:
+    """rows joined with facts, one a key, whose column n says about how many rows the key has.
+
+    A key of more than `most` rows is split by the hash of spread over several keys of the join, and its facts go to
+    each. Only the numbers of keys of such keys are broadcast: of R rows, there are R / most at most.
+    """
+    parts = F.ceil(F.col(n) / most).cast("int")
+    hot = facts.where(F.col(n) > most).select(*keys, parts.alias("_parts"))
+    if hot.isEmpty():
+        return rows.join(facts, keys, how)
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", F.pmod(F.xxhash64(spread), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    each = facts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    return dealt.join(each, [*keys, "_part"], how).drop("_part")
+
+
 def text_of(name: str) -> Column:
     """A text column with null read as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, hot_join, written
 
 #: Edges of a node that one task joins at most, and nodes with more of them at most (else the first number grows).
 HOT_EDGES, HOT_NODES = 1 << 16, 50_000
@@ -17,15 +17,8 @@ def _with_least(edges: DataFrame, n_edges: int) -> tuple[DataFrame, DataFrame]:
     The edges of a node that has more than HOT_EDGES are split by hash over several keys of the join, and its least
     neighbour goes to each. There are at most HOT_NODES such nodes, whose numbers of keys are broadcast.
     """
-    most = max(HOT_EDGES, 2 * n_edges // HOT_NODES)
     least = written(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "components-least")
-    hot = least.where(F.col("n") > most).select("u", F.ceil(F.col("n") / most).cast("int").alias("keys"))
-    if hot.isEmpty():
-        return edges.join(least.select("u", "m"), "u"), least
-    dealt = edges.join(F.broadcast(hot), "u", "left").withColumn("key", F.pmod(F.xxhash64("v"), F.coalesce("keys", F.lit(1))).cast("int")).drop("keys")
-    keys = F.when(F.col("n") > most, F.ceil(F.col("n") / most)).otherwise(1).cast("int")
-    each = least.select("u", "m", F.explode(F.sequence(F.lit(0), keys - 1)).alias("key"))
-    return dealt.join(each, ["u", "key"]).drop("key"), least
+    return hot_join(edges, least, ["u"], "n", F.col("v"), max(HOT_EDGES, 2 * n_edges // HOT_NODES)).drop("n"), least
 
 
 def _large_star(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:

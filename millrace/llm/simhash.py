@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, text_hash, text_of, written
+from .common import hot_join, map_texts, text_hash, text_of, written
 from .components import components
 from .grouped import blocked, stars, whole_groups
 
@@ -246,11 +246,11 @@ def verified(table: pa.Table, at: np.ndarray, distance: int) -> tuple[np.ndarray
 def near_duplicates(docs: DataFrame, distance: int = 3, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the least id reachable over links) of each document."""
     marked = written(fingerprints(docs, id_col, text_col, words), "simhash")
-    classes = written(marked.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
+    classes = written(marked.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "simhash-classes")
     n, both = bit_counts(classes)
-    found = components(links(classes, distance, plan(n, both, distance)), "simhash-components")
-    rooted = classes.join(found, classes.rep == found.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    joined = marked.join(rooted, "fp", "left")
+    found = components(links(classes.drop("n"), distance, plan(n, both, distance)), "simhash-components")
+    rooted = written(classes.join(found, classes.rep == found.node, "left").select("fp", "n", F.coalesce("root", "rep").alias("component_id")), "simhash-rooted")
+    joined = hot_join(marked, rooted, ["fp"], "n", F.struct("doc_id", "text_hash"), how="left")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 

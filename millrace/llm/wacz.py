@@ -1,15 +1,19 @@
 """WARC records in ZIP packages: a writer, and a reader that finds records by ranges without unpacking.
 
-Each package stores, uncompressed as ZIP members, one WARC file of singly gzipped records and a CDXJ index of their
-offsets. The reader fetches a package's tail, follows the end record (and its ZIP64 form) to the central directory,
-locates the stored members, and reads the index and then only the byte ranges of the records that it wants.
+Each package that is written stores, uncompressed as ZIP members, one WARC file of singly gzipped records, a CDXJ
+index of them sorted by key and time, and a description with the members' sizes and hashes. The reader takes any such
+package: it fetches the tail, follows the end record (and its ZIP64 form) to the central directory, locates the stored
+archives and indexes, whatever they are called and however many there are, and reads each index once. Slices of
+records that lie near each other then go to tasks, which read only the byte ranges of theirs. Where no index names an
+archive's records, their places are found by walking through it.
 
 Equal payloads are stored once: the record of the largest page id is the response, the others revisit it.
 
 Defined results: a null payload is empty; pages that tie at the largest id of a payload are all responses; a null
 page id revisits like any other, and where a payload has null ids only, all are responses; a null url becomes a
-urn; an empty table gives no packages and an empty reading; other columns aren't read. The payloads are shuffled
-once by their digest, which Spark can split where one payload is hot; tasks hold one record and one package's index.
+urn; an empty table gives no packages and an empty reading; other columns aren't read. Records of other kinds than
+response and revisit are read with their whole block as payload. The payloads are shuffled once by their digest, those
+of a hot digest by several keys; tasks hold one record, and one package's index while it is read or written.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import re
 import struct
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,14 +34,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, text_of, written
+from .common import blocks, hot_join, text_of, written
 
-ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+#: Where a package that is written has its members.
+ARCHIVE, INDEX, ABOUT = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
+#: What archives and indexes are called in any package.
+ARCHIVES, INDEXES = re.compile(r"\.warc(\.gz)?$", re.IGNORECASE), re.compile(r"\.cdxj?(\.gz)?$", re.IGNORECASE)
 DATE = "2024-01-01T00:00:00Z"
 #: A package is closed at this size; a range read fetches so much at most, or one record.
 PACKAGE_BYTES, RANGE_BYTES = 256 << 20, 4 << 20
-#: Records that one reading task takes from a package.
-SLICE = 2000
+#: Records that one reading task takes from a package; pages of one payload that one task joins with their leader.
+SLICE, HOT_PAGES = 2000, 8192
 
 
 def open_store(uri: str):
@@ -84,24 +92,41 @@ def record(page: int | None, url: str | None, payload: bytes, refers: bool, lead
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
+def sort_key(url: str) -> str:
+    """The key that indexes sort urls by: the host's names from the last to the first, then port, path and query."""
+    found = re.fullmatch(r"https?://(?:[^/@]*@)?([^/:?#]+)(?::(\d+))?([^#]*).*", url, re.IGNORECASE | re.DOTALL)
+    if not found:
+        return re.sub(r"\s", "%20", url) or "-"
+    host = ",".join(reversed(re.sub(r"^www\d*\.", "", found[1].lower()).split(".")))
+    port = f":{found[2]}" if found[2] and found[2] not in ("80", "443") else ""
+    return re.sub(r"\s", "%20", f"{host}{port}){found[3].lower() or '/'}")
+
+
 class Package:
     """One ZIP package being written; the archive streams out, the index is kept until it ends."""
 
     def __init__(self, store, path: str):
-        self.store, self.path, self.index, self.size = store, path, [], 0
+        self.store, self.path, self.index, self.size, self.hash = store, path, [], 0, hashlib.sha256()
         self.out = store.open_output_stream(path)
         self.zip = zipfile.ZipFile(self.out, "w", zipfile.ZIP_STORED, allowZip64=True)
         self.archive = self.zip.open(zipfile.ZipInfo(ARCHIVE), "w", force_zip64=True)
 
-    def add(self, page: int | None, kind: str, raw: bytes) -> None:
-        packed = gzip.compress(raw, 3, mtime=0)
+    def add(self, kind: str, raw: bytes) -> None:
+        packed, fields = gzip.compress(raw, 3, mtime=0), parse_record(raw)[0]
+        url = fields["warc-target-uri"]
+        more = {"url": url, "mime": "warc/revisit" if kind == "revisit" else "text/html", "status": "200", "digest": fields["warc-payload-digest"], "length": str(len(packed)), "offset": str(self.size), "filename": ARCHIVE.rpartition("/")[2]}
+        self.index.append(f"{sort_key(url)} {re.sub('[^0-9]', '', fields['warc-date'])[:14]} {json.dumps(more)}\n")
         self.archive.write(packed)
-        self.index.append(f"{_urn(page)} {json.dumps({'type': kind, 'offset': self.size, 'length': len(packed)})}\n")
+        self.hash.update(packed)
         self.size += len(packed)
 
     def close(self) -> tuple[str, int, int]:
         self.archive.close()
-        self.zip.writestr(zipfile.ZipInfo(INDEX), "".join(self.index))
+        index = "".join(sorted(self.index)).encode()
+        members = ((ARCHIVE, self.size, self.hash.hexdigest()), (INDEX, len(index), hashlib.sha256(index).hexdigest()))
+        about = {"profile": "data-package", "wacz_version": "1.1.1", "resources": [{"name": path.rpartition("/")[2], "path": path, "bytes": n, "hash": f"sha256:{digest}"} for path, n, digest in members]}
+        self.zip.writestr(zipfile.ZipInfo(INDEX), index)
+        self.zip.writestr(zipfile.ZipInfo(ABOUT), json.dumps(about, indent=1))
         self.zip.close()
         self.out.close()
         return self.path, len(self.index), self.size
@@ -111,8 +136,8 @@ def with_leaders(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_
     """page_id, url, html, leader and n_same: of pages with equal payloads of at least `least` bytes, the largest id."""
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_of(text_col).alias("html"))
     slim = slim.withColumn("digest", F.sha1(F.encode("html", "utf-8"))).withColumn("bytes", F.octet_length("html"))
-    same = slim.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("leader"), F.count("*").alias("n_same")).where("n_same > 1")
-    return slim.join(same, "digest", "left").select("page_id", "url", "html", "leader", "n_same")
+    same = written(slim.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("leader"), F.count("*").alias("n_same")).where("n_same > 1"), "wacz-same")
+    return hot_join(slim, same, ["digest"], "n_same", F.struct("page_id", "url"), HOT_PAGES, "left").select("page_id", "url", "html", "leader", "n_same")
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 0, package_bytes: int = PACKAGE_BYTES, **columns: str) -> DataFrame:
@@ -132,7 +157,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, package_bytes:
                     refers = n_same is not None and leader is not None and leader != page
                     if package is None:
                         package = Package(store, f"{base}/{uuid.uuid4().hex}.wacz")
-                    package.add(page, "revisit" if refers else "response", record(page, url, html.encode(), refers, leader))
+                    package.add("revisit" if refers else "response", record(page, url, html.encode(), refers, leader))
                     if package.size >= package_bytes:
                         done.append(package.close())
                         package = None
@@ -209,24 +234,89 @@ class PackageReader:
         n_name, n_extra = struct.unpack("<HH", head[26:30])
         return member.header + 30 + n_name + n_extra, member.size
 
-    def index(self) -> list[dict]:
-        at, size = self.place(INDEX)
-        return [json.loads(line.split(b" ", 1)[1]) for line in self.read(at, size).splitlines()]
-
-    def records(self, entries: list[dict]) -> Iterator[bytes]:
-        """The raw records of some index entries; neighbours are fetched in one range."""
-        base, _ = self.place(ARCHIVE)
+    def archives(self) -> list[str]:
+        return sorted(name for name in self.members if ARCHIVES.search(name))
+
+    def index(self) -> dict[str, list[tuple[int, int]]]:
+        """(offset, length) of each record of each archive, by offset; from the indexes, or by walking."""
+        named, found = {name.rpartition("/")[2]: name for name in self.archives()}, {name: set() for name in self.archives()}
+        for name in filter(INDEXES.search, self.members):
+            raw = self.read(*self.place(name))
+            for line in (gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).decode().splitlines():
+                entry = _index_entry(line)
+                if entry is None:
+                    continue
+                offset, length, file = entry
+                archive = named.get(file.rpartition("/")[2]) if file else next(iter(found)) if len(found) == 1 else None
+                if archive is None:
+                    raise ValueError(f"{name} names {file or 'no archive'}, which the package doesn't hold")
+                found[archive].add((offset, length))
+        return {name: sorted(places) or list(self.walk(name)) for name, places in found.items()}
+
+    def walk(self, archive: str) -> Iterator[tuple[int, int]]:
+        """(offset, length) of each record of an archive without an index, read from end to end in ranges."""
+        base, size = self.place(archive)
+        at, held, start = 0, b"", 0  # held: what is read from start on
+        while start < size:
+            if len(held) < 2 and at < size:
+                more = self.read(base + at, min(RANGE_BYTES, size - at))
+                at, held = at + len(more), held + more
+                continue
+            length = 0
+            if held[:2] == b"\x1f\x8b":
+                unpacker = zlib.decompressobj(31)
+                chunk = held
+                while True:
+                    unpacker.decompress(chunk)
+                    if unpacker.eof:
+                        length += len(chunk) - len(unpacker.unused_data)
+                        break
+                    length += len(chunk)
+                    if at >= size:
+                        raise ValueError(f"{archive} ends within a record")
+                    chunk = self.read(base + at, min(RANGE_BYTES, size - at))
+                    at, held = at + len(chunk), held + chunk
+            else:
+                while b"\r\n\r\n" not in held:
+                    if at >= size:
+                        raise ValueError(f"{archive} ends within a record")
+                    more = self.read(base + at, min(RANGE_BYTES, size - at))
+                    at, held = at + len(more), held + more
+                head = held.partition(b"\r\n\r\n")[0]
+                length = len(head) + 8 + int(re.search(rb"(?i)\ncontent-length:\s*(\d+)", head)[1])
+            yield start, length
+            start += length
+            held = held[length:] if length <= len(held) else b""
+            at = max(at, start)
+
+    def records(self, archive: str, places: list[tuple[int, int]]) -> Iterator[bytes]:
+        """The raw records at some places of an archive, by offset; neighbours are fetched in one range."""
+        base, _ = self.place(archive)
         k = 0
-        while k < len(entries):
-            last, first = k, entries[k]["offset"]
-            while last + 1 < len(entries) and entries[last + 1]["offset"] == entries[last]["offset"] + entries[last]["length"] and entries[last + 1]["offset"] + entries[last + 1]["length"] - first <= RANGE_BYTES:
+        while k < len(places):
+            last, first = k, places[k][0]
+            while last + 1 < len(places) and places[last + 1][0] == sum(places[last]) and sum(places[last + 1]) - first <= RANGE_BYTES:
                 last += 1
-            raw = self.read(base + first, entries[last]["offset"] + entries[last]["length"] - first)
-            for e in entries[k : last + 1]:
-                yield gzip.decompress(raw[e["offset"] - first : e["offset"] - first + e["length"]])
+            raw = self.read(base + first, sum(places[last]) - first)
+            for offset, length in places[k : last + 1]:
+                part = raw[offset - first : offset - first + length]
+                yield gzip.decompress(part) if part[:2] == b"\x1f\x8b" else part
             k = last + 1
 
 
+def _index_entry(line: str) -> tuple[int, int, str] | None:
+    """Offset, length and file of a line of an index: JSON after key and time, or the fields of the older form."""
+    key, _, rest = line.partition(" ")
+    if not rest or key in ("CDX", "!meta") or line.startswith((" ", "!")):
+        return None
+    _, _, rest = rest.partition(" ")
+    if rest.startswith("{"):
+        more = json.loads(rest)
+        return int(more["offset"]), int(more["length"]), more.get("filename", "")
+    fields = rest.split(" ")
+    return (int(fields[-2]), int(fields[-3]), fields[-1]) if len(fields) >= 9 else None
+
+
 def parse_record(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     """WARC headers, HTTP headers and payload of a record."""
 
@@ -239,41 +329,66 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return warc, fields(http), payload
 
 
-RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+RECORDS = "page_id long, record_id string, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+
+
+def _found(raw: bytes, payloads: bool) -> tuple:
+    """A row of RECORDS."""
+    warc, http, payload = parse_record(raw)
+    kind = warc["warc-type"]
+    if kind == "revisit":
+        size, digest = int(http.get("content-length", 0)), warc.get("warc-payload-digest", "").partition(":")[2]
+    else:
+        if kind != "response":
+            payload = raw.partition(b"\r\n\r\n")[2][: int(warc["content-length"])]
+        size, digest = len(payload), sha1_base32(payload)
+    named = warc.get("warc-record-id", "")
+    return _page(named), named, warc.get("warc-target-uri"), kind, _page(warc.get("warc-refers-to")), size, digest, payload if payloads and kind != "revisit" else None
+
+
+def slices_of(manifest: DataFrame, size: int = SLICE) -> DataFrame:
+    """path, archive, offsets and lengths of at most `size` records that follow each other; each index is read once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                store, name = open_store(path)
+                with store.open_input_file(name) as source:
+                    found = PackageReader(source, source.size()).index()
+                rows = [(path, archive, [o for o, _ in some], [n for _, n in some]) for archive, places in found.items() for some in (places[k : k + size] for k in range(0, len(places), size))]
+                kinds = [pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["path", "archive", "offsets", "lengths"])
+
+    paths = manifest.select("path")
+    return paths.repartition("path").mapInArrow(run, "path string, archive string, offsets array<long>, lengths array<long>")
 
 
 def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records of a manifest's packages, read in slices of SLICE index entries.
+    """The records of the packages at a manifest's paths, read in slices of SLICE records.
 
     payload_bytes and payload_digest are those of the payload for responses, and what the headers say for revisits.
     """
     names = [f.split()[0] for f in RECORDS.split(", ")]
-    tasks = manifest.agg(F.sum(F.ceil(F.col("records") / SLICE))).first()[0] or 1  # rows of slices are tiny: by their bytes, one task would read all
-    slices = manifest.where("records > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("records") - 1, F.lit(SLICE).cast("long"))).alias("first"))
+    slices = written(slices_of(manifest), "wacz-slices")
+    tasks = slices.count()  # rows of slices are tiny: by their bytes, one task would read all
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, first in zip(batch.column("path").to_pylist(), batch.column("first").to_pylist(), strict=True):
+            for path, archive, offsets, lengths in zip(*(batch.column(c).to_pylist() for c in ("path", "archive", "offsets", "lengths")), strict=True):
                 store, name = open_store(path)
                 with store.open_input_file(name) as source:
-                    reader = PackageReader(source, source.size())
                     rows, held = [], 0
-                    for raw in reader.records(reader.index()[first : first + SLICE]):
-                        warc, http, payload = parse_record(raw)
-                        kind = warc["warc-type"]
-                        real = kind == "response"
-                        size = len(payload) if real else int(http["content-length"])
-                        digest = sha1_base32(payload) if real else warc["warc-payload-digest"].partition(":")[2]
-                        rows.append((_page(warc["warc-record-id"]), warc["warc-target-uri"], kind, _page(warc.get("warc-refers-to")), size, digest, payload if real and payloads else None))
-                        held += len(payload) if payloads else 0
+                    for raw in PackageReader(source, source.size()).records(archive, list(zip(offsets, lengths))):
+                        rows.append(_found(raw, payloads))
+                        held += rows[-1][5] if payloads else 0
                         if held >= RANGE_BYTES:
                             yield _batch(rows, names)
                             rows, held = [], 0
                     yield _batch(rows, names)
 
-    return slices.repartition(int(tasks), "path", "first").mapInArrow(run, RECORDS)
+    return slices.repartition(max(1, tasks), "path", F.col("offsets")[0]).mapInArrow(run, RECORDS)
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)

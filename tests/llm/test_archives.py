@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import io
+import json
 import zipfile
 from collections import Counter
 
@@ -82,11 +83,15 @@ def test_written_package_is_a_plain_zip(tmp_path):
 
     package = wacz.Package(fs.LocalFileSystem(), str(tmp_path / "p.wacz"))
     for k in range(5):
-        package.add(k, "response", wacz.record(k, f"http://x/{k}", b"body %d" % k, False, None))
+        package.add("response", wacz.record(k, f"http://x/{k}", b"body %d" % k, False, None))
     path, records, _ = package.close()
     with zipfile.ZipFile(path) as found:
-        assert found.testzip() is None and found.namelist() == [wacz.ARCHIVE, wacz.INDEX]
+        assert found.testzip() is None and found.namelist() == [wacz.ARCHIVE, wacz.INDEX, wacz.ABOUT]
         raw = gzip.decompress(found.read(wacz.ARCHIVE))
+        lines = found.read(wacz.INDEX).decode().splitlines()
+        about = json.loads(found.read(wacz.ABOUT))
+        assert all(hashlib.sha256(found.read(r["path"])).hexdigest() == r["hash"].removeprefix("sha256:") and len(found.read(r["path"])) == r["bytes"] for r in about["resources"])
+    assert lines == sorted(lines) and all(line.startswith(f"x)/{k} 20240101000000 {{") for k, line in enumerate(lines))
     assert records == 5 and raw.count(b"WARC/1.1") == 5
 
 
@@ -124,11 +129,80 @@ def test_zip64_directory(monkeypatch):
         assert found.read(at, n) == b"payload %d" % k * 20
 
 
+def packed(first, n, compressed=True):
+    """The bytes of an archive of n records, and where each lies."""
+    raw, places = b"", []
+    for k in range(first, first + n):
+        one = wacz.record(k, f"http://h{k % 3}.example.com/p/{k}", b"%d" % k * (200 + k), False, None)
+        one = gzip.compress(one, 0) if compressed else one
+        places.append((len(raw), len(one)))
+        raw += one
+    return raw, places
+
+
+def foreign(index="cdxj"):
+    """A package by other tools: two archives, one of them not compressed, names of their own, several kinds of index."""
+    (a, in_a), (b, in_b) = packed(0, 30), packed(100, 20, False)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as made:
+        made.writestr("datapackage.json", "{}")
+        made.writestr("pages/pages.jsonl", "{}")
+        made.writestr("archive/crawl-one.warc.gz", a)
+        made.writestr("archive/sub/crawl-two.warc", b)
+        places = [("crawl-one.warc.gz", p) for p in in_a] + [("crawl-two.warc", p) for p in in_b]
+        if index == "cdxj":
+            lines = [f'com,example)/{k} 20240101000000 {json.dumps({"url": "u", "offset": str(o), "length": str(n), "filename": f})}\n' for k, (f, (o, n)) in enumerate(places)]
+            made.writestr("indexes/some.cdxj", "!meta {}\n" + "".join(sorted(lines)))
+        if index == "cdx":
+            lines = [f"com,example)/{k} 20240101000000 http://u text/html 200 SHA - - {n} {o} {f}\n" for k, (f, (o, n)) in enumerate(places)]
+            made.writestr("indexes/some.cdx.gz", gzip.compress((" CDX N b a m s k r M S V g\n" + "".join(lines)).encode()))
+    return out.getvalue(), {"archive/crawl-one.warc.gz": in_a, "archive/sub/crawl-two.warc": in_b}
+
+
+@pytest.mark.parametrize("index", ["cdxj", "cdx", "none"])
+@pytest.mark.parametrize("most", [wacz.RANGE_BYTES, 1000])
+def test_packages_by_other_tools(monkeypatch, index, most):
+    monkeypatch.setattr(wacz, "RANGE_BYTES", most)
+    raw, places = foreign(index)
+    found = reader(raw)
+    assert found.index() == places
+    ids = [wacz._found(r, False)[0] for name, some in places.items() for r in found.records(name, some)]
+    assert ids == [*range(30), *range(100, 120)]
+
+
+def test_packages_by_other_tools_are_read(spark, tmp_path):
+    (tmp_path / "other.wacz").write_bytes(foreign()[0])
+    found = wacz.read_archives(spark.createDataFrame([(f"file://{tmp_path}/other.wacz",)], "path string")).collect()
+    assert {r.page_id: bytes(r.payload) for r in found} == {k: b"%d" % k * (200 + k) for k in [*range(30), *range(100, 120)]}
+
+
+def test_each_index_is_read_once(monkeypatch, spark, tmp_path, pages):
+    manifest = wacz.write_archives(pages, f"file://{tmp_path}/w")
+    slices = wacz.slices_of(manifest, 2).collect()
+    assert sum(len(r.offsets) for r in slices) == len(ROWS) and max(len(r.offsets) for r in slices) == 2
+    monkeypatch.setattr(wacz.PackageReader, "index", None)  # reading slices needs none
+    raw = open(slices[0].path.removeprefix("file:"), "rb").read()
+    assert len(list(reader(raw).records(slices[0].archive, list(zip(slices[0].offsets, slices[0].lengths))))) == len(slices[0].offsets)
+
+
+@pytest.mark.parametrize("url,key", [("http://www.Example.com:8080/A?b=C#d", "com,example:8080)/a?b=c"), ("https://example.com", "com,example)/"), ("urn:page:5", "urn:page:5"), ("http://u@h.org:80/x", "org,h)/x")])
+def test_sort_keys(url, key):
+    assert wacz.sort_key(url) == key
+
+
+def test_hot_payloads_are_split(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(wacz, "HOT_PAGES", 3)
+    rows = [(k, f"http://a/{k}", "same" if k % 2 else f"own {k}") for k in range(40)]
+    manifest = wacz.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    found = wacz.read_archives(manifest).collect()
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found) == expected(rows)
+
+
 def test_records_are_read_by_ranges():
     entries, raw = [], b""
     for k in range(200):
         packed = gzip.compress(wacz.record(k, "u", b"%d" % k * 3000, False, None), 0)
-        entries.append({"offset": len(raw), "length": len(packed)})
+        entries.append((len(raw), len(packed)))
         raw += packed
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as made:
@@ -137,5 +211,5 @@ def test_records_are_read_by_ranges():
     source = Bytes(out.getvalue())
     found = wacz.PackageReader(source, len(source.raw))
     before = source.count
-    assert [wacz.parse_record(r)[2] for r in found.records(entries[50:53])] == [b"%d" % k * 3000 for k in (50, 51, 52)]
-    assert source.count - before < sum(e["length"] for e in entries[50:53]) + 100
+    assert [wacz.parse_record(r)[2] for r in found.records(wacz.ARCHIVE, entries[50:53])] == [b"%d" % k * 3000 for k in (50, 51, 52)]
+    assert source.count - before < sum(n for _, n in entries[50:53]) + 100
