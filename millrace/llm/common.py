@@ -52,7 +52,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def drop_written(df: DataFrame) -> None:
-    """Delete the files behind a written() table that nothing reads any more."""
+    """Delete the files behind a written() table that nothing reads any more; other frames have none."""
+    if df not in _folders:
+        return
     spark = df.sparkSession
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folders.pop(df))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -15,10 +15,14 @@ def _with_least(edges: DataFrame, n_edges: int) -> tuple[DataFrame, DataFrame]:
     """edges (u, v) with m, the least v of u; and u and m of each u.
 
     The edges of a node that has more than HOT_EDGES are split by hash over several keys of the join, and its least
-    neighbour goes to each. There are at most HOT_NODES such nodes, whose numbers of keys are broadcast.
+    neighbour goes to each. There are at most HOT_NODES such nodes, and none where there are no more edges than that.
     """
-    least = written(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "components-least")
-    return hot_join(edges, least, ["u"], "n", F.col("v"), max(HOT_EDGES, 2 * n_edges // HOT_NODES)).drop("n"), least
+    most = max(HOT_EDGES, 2 * n_edges // HOT_NODES)
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    if n_edges <= most:
+        return edges.join(least.select("u", "m"), "u"), least
+    least = written(least, "components-least")
+    return hot_join(edges, least, ["u"], "n", F.col("v"), most).drop("n"), least
 
 
 def _large_star(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
@@ -49,7 +53,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     state = _state(now)
     while state[0]:
         large, first = _large_star(now, state[0])
-        large = written(large.distinct(), label)
+        if state[0] > HOT_EDGES:
+            large = written(large.distinct(), label)
         small, second = _small_star(large, state[0])
         new = written(small.distinct(), label)
         for old in (now, first, large, second):
