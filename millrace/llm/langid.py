@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, map_texts
+from .common import Recent, hand_back_memory, map_texts, written
 
 UND = "und"
 #: Longest n-gram; 21 bits a character let three stand in 63 bits.
 SPECTRUM = 3
 #: Training texts a language at most, and how many of them are landmarks.
 BUCKETS, LANDMARKS = 96, 24
+#: Rows of the sample's keys up to which they are broadcast.
+FEW = 100_000
 #: Lengths, in characters, of texts that the sample prefers.
 LENGTHS = (150, 12_000)
 #: Ridge of the regression, and how sharply margins become scores.
@@ -206,8 +208,8 @@ def sample(docs: DataFrame, teaches: Column, text_col: str = "text", label_col:
     slim = docs.where(teaches & F.col(label_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     slim = slim.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), key.alias("key"))
     bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS))
-    least = slim.groupBy("label", bucket.alias("bucket")).agg(F.min("key").alias("key"))
-    found = slim.join(least.select("label", "key"), ["label", "key"])  # BUCKETS rows a language: Spark broadcasts them if they are few
+    least = written(slim.groupBy("label", bucket.alias("bucket")).agg(F.min("key").alias("key")).select("label", "key"), "langid-sample")
+    found = slim.join(F.broadcast(least) if least.count() <= FEW else least, ["label", "key"])  # BUCKETS rows a language
     return found.groupBy("label", "key").agg(F.min("text").alias("text"))
 
 
@@ -263,5 +265,6 @@ def kept_documents(docs: DataFrame, least_score: float = 0.4, text_col: str = "t
         for batch in batches:
             labels, scores = _model(shared).predict(batch.column(text_col).to_pylist())
             yield batch.filter(pa.array([y != UND and s >= least_score for y, s in zip(labels, scores, strict=True)], pa.bool_()))
+        hand_back_memory()
 
     return docs.mapInArrow(run, docs.schema)
