@@ -60,7 +60,7 @@ class Encoder:
     encode_all whole. At most `most` words and a quarter as many other chunks are remembered.
     """
 
-    def __init__(self, kind: str, encode_words: Callable[[list[str]], Iterable[bytes]], encode_all: Callable[[list[str]], Iterable[bytes]], specials: tuple[str, ...] = (), most: int = 800_000):
+    def __init__(self, kind: str, encode_words: Callable[[list[str]], Iterable[bytes]], encode_all: Callable[[list[str]], Iterable[bytes]], specials: tuple[str, ...] = (), most: int = 600_000):
         self.spaced, self.encode_words, self.encode_all = kind == "spaced", encode_words, encode_all
         self.specials = (*specials, LINE) if self.spaced else specials
         self.words, self.seen = Recent(most), Recent(most // 4)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import uuid
 import weakref
@@ -102,6 +104,13 @@ def blocks(batch: pa.RecordBatch, column: str = "text", most: int = BLOCK_BYTES)
         yield batch.slice(start)
 
 
+def hand_back_memory() -> None:
+    """Return what a worker's allocators hold but don't use, so that idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_texts(df: DataFrame, make: Callable[[pa.RecordBatch], list[pa.Array]], schema: str, column: str = "text") -> DataFrame:
     """mapInArrow over blocks of bounded text: make gives the output columns of a block."""
     from pyspark.sql.types import StructType
@@ -112,6 +121,7 @@ def map_texts(df: DataFrame, make: Callable[[pa.RecordBatch], list[pa.Array]], s
         for batch in batches:
             for block in blocks(batch, column):
                 yield pa.RecordBatch.from_arrays(make(block), names=names)
+        hand_back_memory()
 
     return df.mapInArrow(run, schema)
 

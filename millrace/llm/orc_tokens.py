@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunks import ended, shared_encoder
-from .common import blocks, text_of
+from .common import blocks, hand_back_memory, text_of
 
 #: What the writer asks of ORC.
 ORC_OPTIONS = {
@@ -54,6 +54,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, kind: str = "spac
                 ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(np.full(block.num_rows, shard, np.int32)), pa.array(before + ends[:-1]), pa.array(np.diff(ends).astype(np.int32)), ids], names=_NAMES)
                 before += int(ends[-1])
+        hand_back_memory()
 
     encoded = spread.sortWithinPartitions("doc_id", "text").mapInArrow(run, _SCHEMA)
     encoded.write.options(**ORC_OPTIONS).orc(folder)

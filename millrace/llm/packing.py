@@ -277,4 +277,5 @@ def pack(found: DataFrame, capacity: int = 2048, block: int = BLOCK_TOKENS) -> D
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "folded", capacity: int = 2048, end_id: int = 0) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece of docs."""
     return pack(pieces(docs, tokenizer, kind, capacity, end_id), capacity)

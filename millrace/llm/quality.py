@@ -154,7 +154,10 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_i
 
 
 def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns."""
+    """The rows of docs that the rules keep, with all their columns.
+
+    Null and empty texts go; ids aren't read; repeated rows are judged one by one; an empty table stays empty.
+    """
     columns = docs.columns
     judged = judge(docs, rules, keep=tuple(columns)).where("kept")
     return judged.select(*[F.col("_kept")[c].alias(c) for c in columns])

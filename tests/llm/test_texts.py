@@ -162,3 +162,60 @@ def test_redacted_documents(spark):
     rows = [(1, 'x token = "0123456789abcdef0123456789abcdef" y', "keep"), (2, None, "k"), (3, "clean", "k")]
     found = {r.doc_id: r for r in secret_scan.redacted_documents(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()}
     assert found[1].text == 'x [secret]" y' and found[2].text is None and found[3].text == "clean" and found[1].spans == "keep"
+
+
+def brute_model(texts, labels, marks):
+    """Nystroem features and weighted one-versus-rest ridge by sets and plain linear algebra; gives margins of a text."""
+    import numpy as np
+
+    def spectrum(text):
+        return {w[k : k + n] for w in (f" {''.join(c if ord(c) >= 65 else ' ' for c in x)} " for x in text.lower().split()) for n in (1, 2, 3) for k in range(len(w) - n + 1)}
+
+    held = [spectrum(t) for t in marks]
+    whole = set().union(*held)
+    kernel = lambda t: np.array([len(spectrum(t) & h) / max(1, len(spectrum(t) & whole)) ** 0.5 / max(1, len(h)) ** 0.5 for h in held])
+    values, vectors = np.linalg.eigh(np.array([kernel(m) for m in marks]))
+    keep = values > 1e-6 * values.max()
+    root = vectors[:, keep] / np.sqrt(values[keep])
+    x, names = np.array([kernel(t) @ root for t in texts]), sorted(set(labels))
+    y = np.array([[1.0 if a == b else -1.0 for b in names] for a in labels])
+    weight = np.array([1 / labels.count(a) for a in labels])
+    weight *= len(labels) / weight.sum()
+    mx, my = (weight[:, None] * x).sum(0) / weight.sum(), (weight[:, None] * y).sum(0) / weight.sum()
+    w = np.diag(weight)
+    fitted = np.linalg.inv((x - mx).T @ w @ (x - mx) + langid.RIDGE * len(texts) / len(names) * np.eye(x.shape[1])) @ (x - mx).T @ w @ (y - my)
+    return names, lambda t: (kernel(t) @ root - mx) @ fitted + my
+
+
+@pytest.mark.parametrize("marks_each", [2, 24])
+def test_predictions_equal_a_brute_force_model(monkeypatch, documents, marks_each):
+    """Few landmarks and many: the kernel is that of all their n-grams, and margins and scores are those of plain algebra."""
+    import math
+
+    monkeypatch.setattr(langid, "LANDMARKS", marks_each)
+    rows = [(r.text, r.lang) for r in documents.orderBy("doc_id").collect() if langid.has_letter(r.text) and r.lang and len(r.text) < 3000][:60]
+    texts, labels = [t for t, _ in rows], [y for _, y in rows]
+    taken, marks = Counter(), []
+    for t, y in rows:
+        taken[y] += 1
+        marks += [t] if taken[y] <= marks_each else []
+    names, margins = brute_model(texts, labels, marks)
+    model = langid.fit(texts, labels)
+    found, scores = model.predict(texts[:25])
+    for text, label, score in zip(texts, found, scores):
+        odds = [math.exp(langid.SHARPNESS * m) for m in margins(text)]
+        assert abs(score - max(odds) / sum(odds)) < 2e-3 and (label == names[odds.index(max(odds))] or abs(sorted(odds)[-1] - sorted(odds)[-2]) < 1e-2)
+
+
+def test_columns_whose_names_clash(spark, odd_rows):
+    """Other columns may be called as the operators' own; they are neither read nor changed."""
+    names = ["_words", "_text", "_lines", "_kept", "n_words", "kept", "spans", "n_assign", "label", "key", "bucket", "lang_pred", "score", "held_out"]
+    docs = spark.createDataFrame([(i, t, "en", *range(len(names))) for i, t in odd_rows], ["doc_id", "text", "lang", *names])
+    plain = docs.select("doc_id", "text", "lang")
+    for query in (quality.report, secret_scan.scan, langid.languages):
+        assert Counter(map(tuple, query(docs).collect())) == Counter(map(tuple, query(plain).collect()))
+    for keeps in (quality.kept_documents, secret_scan.redacted_documents, langid.kept_documents):
+        found = keeps(docs)
+        assert found.columns == docs.columns
+        assert Counter(tuple(r)[:3] for r in found.collect()) == Counter(map(tuple, keeps(plain).collect()))
+        assert all(tuple(r)[3:] == tuple(range(len(names))) for r in found.collect())

@@ -174,6 +174,26 @@ def test_token_files(spark, tmp_path, odd_docs, odd_rows, no_docs):
     assert orc_tokens.summary(spark, f"{folder}-none").collect() == []
 
 
+def test_token_files_have_indexes_that_skip_rows(spark, tmp_path):
+    """The footers hold row indexes and Bloom filters, and a lookup's scan gives out only row groups that may hold the ids."""
+    folder = f"file://{tmp_path}/orc"
+    docs = spark.range(30_000).selectExpr("id * 3 AS doc_id", "concat('text ', id) AS text")
+    orc_tokens.write_tokens(docs, folder, BYTES, parts=1)
+    hit = orc_tokens.lookup(spark, folder, [3 * 101, 3 * 15_000, 7])
+    assert sorted(r.doc_id for r in hit.collect()) == [303, 45_000]
+    leaves, scanned = hit._jdf.queryExecution().executedPlan().collectLeaves(), 0
+    for k in range(leaves.size()):
+        scanned += leaves.apply(k).metrics().apply("numOutputRows").value()
+    assert 2 <= scanned <= 4 * int(orc_tokens.ORC_OPTIONS["orc.row.index.stride"])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in hit.inputFiles():
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(name), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        rows = reader.rows()
+        for stripe in reader.getStripes():
+            kinds = {str(stream.getKind()) for stream in rows.readStripeFooter(stripe).getStreamsList()}
+            assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= kinds
+
+
 def check_packing(rows, lengths, capacity):
     by_doc = Counter()
     for r in rows:
