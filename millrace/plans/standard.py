@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .statistics import Statistics
 
+# A few of the counts can't be (s_name, s_address and s_phone have more values than rows): estimates that are to agree
+# with others made from these constants need them as they are.
 # Rows, then distinct values of each column; a column without a known count has 1.
 TABLES = {
     "supplier": (10000, {"s_suppkey": 10000, "s_nationkey": 25, "s_acctbal": 9955, "s_name": 100000, "s_address": 100000, "s_phone": 100000, "s_comment": 10000}),
