@@ -5,12 +5,12 @@ concatenates projections on Gaussian directions, shifted and quantised to WIDTH;
 each table. How many projections follows from the number of vectors (about CANDIDATES others by chance in a bucket),
 and how many tables from the chance that a pair just at the threshold shares no bucket, at most MISS.
 
-Buckets get no vectors, only slim rows: table, code, class and a sketch of SKETCH sign bits. Two of a bucket whose
-sketches differ in at most `sketch_limit` bits are candidates, and a task emits a forest of them, not the pairs.
-Candidates' connected components then get each vector once, and all pairs within a component are checked by their
-exact cosine in double precision, large components in blocks; a component of more than LARGE classes is checked
-within its buckets, each pair in the first table that has it. A task emits each vector's links counted and a forest
-of them.
+Buckets get no vectors, only slim rows: table, code, class and a sketch, the vector turned at random and rounded to
+four bits a coordinate. Two of a bucket are candidates if the cosine of their sketches, with SLACK times what rounding
+does to it, reaches the threshold; a task emits a forest of them, not the pairs. Candidates' connected components then
+get each vector once, and all pairs within a component are checked by their exact cosine in double precision, large
+components in blocks; a component of more than LARGE classes is checked within its buckets, each pair in the first
+table that has it. A task emits each vector's links counted and a forest of them.
 
 Equal vectors (by 128 bits of hashes) are one class from the start. Pairs below the threshold are never linked; a
 pair at it is missed with a chance of MISS, and nearer ones with much less: all of a smaller chance as the cosine
@@ -33,16 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from .common import written
+from .common import drop_written, hot_join, written
 from .components import components
 from .grouped import blocked, stars, whole_groups
 
 #: Width of a quantisation step, vectors that share a bucket by chance, and the chance of a miss at the threshold.
-WIDTH, CANDIDATES, MISS = 2.0, 512, 0.003
+WIDTH, CANDIDATES, MISS = 2.0, 1024, 0.003
 #: Projections of a table at least and at most.
 PROJECTIONS = (4, 24)
-#: Bits of a sketch, and the chance that a pair at the threshold differs in too many of them.
-SKETCH, SKETCH_MISS = 128, 2e-5
+#: Standard deviations of the rounding error by which candidates may seem to be below the threshold.
+SLACK = 5.0
 #: Rows of a bucket's block; classes of a component up to which all its pairs are checked.
 BUCKET_ROWS, LARGE = 8192, 100_000
 SEED = 20240101
@@ -65,16 +65,6 @@ def shape(n: int, least: float) -> tuple[int, int]:
     return k, max(1, math.ceil(math.log(MISS) / math.log(1 - near))) if near < 1 else 1
 
 
-def sketch_limit(least: float) -> int:
-    """Differing bits that a pair at the threshold exceeds with a chance of SKETCH_MISS at most."""
-    p, above = math.acos(least) / math.pi, 1.0
-    for k in range(SKETCH + 1):
-        above -= math.comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)
-        if above <= SKETCH_MISS:
-            return k
-    return SKETCH
-
-
 class Hasher:
     """Bucket codes of unit vectors, one 32-bit integer a table, and their sketches."""
 
@@ -84,7 +74,7 @@ class Hasher:
         self.shifts = draw.uniform(0, WIDTH, projections * tables)
         self.mix = draw.integers(1, 1 << 62, projections, dtype=np.int64) | 1
         self.form = (tables, projections)
-        self.planes = draw.standard_normal((dims, SKETCH))
+        self.turn = np.linalg.qr(draw.standard_normal((dims, dims)))[0]
 
     def codes(self, unit: np.ndarray) -> np.ndarray:
         steps = np.floor((unit @ self.directions + self.shifts) / WIDTH).astype(np.int64).reshape(len(unit), *self.form)
@@ -92,7 +82,20 @@ class Hasher:
         return ((mixed ^ (mixed >> 31)) & 0x7FFFFFFF).astype(np.int32)
 
     def sketches(self, unit: np.ndarray) -> np.ndarray:
-        return np.packbits(unit @ self.planes > 0, axis=1).view(np.int64)
+        """A row of bytes for each vector: the size of a rounding step, then two coordinates, from -7 to 7, a byte."""
+        turned = unit @ self.turn
+        step = (np.abs(turned).max(1) / 7).astype("<f4")
+        steps = np.rint(turned / step[:, None]).astype(np.int8) + 8
+        steps = np.pad(steps, ((0, 0), (0, len(self.turn) % 2)), constant_values=8).astype(np.uint8)
+        return np.concatenate([step.view(np.uint8).reshape(-1, 4), steps[:, ::2] << 4 | steps[:, 1::2]], 1)
+
+
+def unpacked(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rounded vectors, and the sizes of their rounding steps."""
+    step = np.ascontiguousarray(sketches[:, :4]).view("<f4")
+    packed = sketches[:, 4:]
+    steps = np.stack([packed >> 4, packed & 15], 2).reshape(len(sketches), -1).astype(np.float32) - 8
+    return steps * step, step[:, 0]
 
 
 _hashers: dict[tuple[int, int, int], Hasher] = {}
@@ -143,31 +146,32 @@ def filed(classes: DataFrame, k: int, tables: int) -> DataFrame:
             cls = batch.column("cls").to_numpy()
             for d, rows in _same_length(batch.column("vec")):
                 unit, form = _unit(batch.column("vec"), rows), hasher(d, k, tables)
-                each, sketch = np.repeat(rows, tables), np.repeat(form.sketches(unit), tables, axis=0)
-                columns = [np.full(len(each), d, np.int32), np.tile(np.arange(tables, dtype=np.int32), len(rows)), form.codes(unit).ravel(), cls[each], sketch[:, 0], sketch[:, 1]]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["dims", "tab", "code", "cls", "s1", "s2"])
+                each = np.repeat(np.arange(len(rows)), tables)
+                columns = [np.full(len(each), d, np.int32), np.tile(np.arange(tables, dtype=np.int32), len(rows)), form.codes(unit).ravel(), cls[rows[each]]]
+                sketch = pa.array([s.tobytes() for s in form.sketches(unit)], pa.binary()).take(pa.array(each))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), sketch], names=["dims", "tab", "code", "cls", "sketch"])
 
-    return classes.select("cls", "vec").mapInArrow(run, "dims int, tab int, code int, cls long, s1 long, s2 long")
+    return classes.select("cls", "vec").mapInArrow(run, "dims int, tab int, code int, cls long, sketch binary")
 
 
 def candidates(buckets: DataFrame, least: float) -> DataFrame:
     """Edges (u, v) that have the components of all pairs of classes of a bucket whose sketches are near enough."""
+    rounding = SLACK / math.sqrt(12)
     dealt = blocked(buckets, ["dims", "tab", "code"], F.col("cls"), BUCKET_ROWS, "embedding-buckets")
-    most = sketch_limit(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in whole_groups(batches, ["dims", "tab", "code", "lo", "hi"]):
-            s1, s2 = (table.column(c).to_numpy().view(np.uint64) for c in ("s1", "s2"))
-            cls, block = table.column("cls").to_numpy(), table.column("block").to_numpy()
+            cls, block, sketch = table.column("cls").to_numpy(), table.column("block").to_numpy(), table.column("sketch")
             apart = table.column("lo").to_numpy() != table.column("hi").to_numpy()
             u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for g in np.flatnonzero(np.diff(at) > 1):
                 a, b = int(at[g]), int(at[g + 1])
-                step = max(1, (1 << 20) // (b - a))
-                for i in range(a, b, step):
-                    j = min(i + step, b)
-                    near = np.bitwise_count(s1[i:j, None] ^ s1[None, i:b]).astype(np.uint8) + np.bitwise_count(s2[i:j, None] ^ s2[None, i:b]) <= most
-                    left, right = np.nonzero(near)
+                rounded, step = unpacked(np.frombuffer(b"".join(sketch.slice(a, b - a).to_pylist()), np.uint8).reshape(b - a, -1))
+                enough = least - rounding * np.sqrt(step * step + step.max() ** 2)
+                size = max(1, (1 << 20) // (b - a))
+                for i in range(a, b, size):
+                    some = slice(i - a, min(i + size, b) - a)
+                    left, right = np.nonzero(rounded[some] @ rounded[i - a :].T >= enough[some, None])
                     ok = left < right
                     if apart[a]:
                         ok &= block[i + left] != block[i + right]
@@ -246,10 +250,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
     rooted = components(found.where("root IS NOT NULL").select(F.col("cls").alias("u"), F.col("root").alias("v")), "embedding-components")
     counts = found.where("links IS NOT NULL").select("cls", "links", F.lit(None).cast("long").alias("root"))
     linked = counts.union(rooted.select("node", F.lit(None).cast("long"), "root")).groupBy("cls").agg(F.sum("links").alias("links"), F.max("root").alias("root"))
-    known = written(classes.select("cls", "h1", "h2", "rep", "n").join(linked, "cls", "left").drop("cls"), "embedding-known")
-    least_ids = known.where("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("least_id"))
-    known = known.join(least_ids, "root", "left").select("h1", "h2", "n", "links", F.coalesce("least_id", "rep").alias("least_id"))
-    out = rows.drop("vec").join(known, ["h1", "h2"], "left").select(
+    linked_rows = written(classes.select("cls", "h1", "h2", "rep", "n").join(linked, "cls", "left").drop("cls"), "embedding-linked")
+    least_ids = linked_rows.where("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("least_id"))
+    known = written(linked_rows.join(least_ids, "root", "left").select("h1", "h2", "n", "links", F.coalesce("least_id", "rep").alias("least_id")), "embedding-known")
+    for old in (classes, grouped, sizes, found, rooted, linked_rows):
+        drop_written(old)
+    usable = hot_join(rows.drop("vec").where("h1 IS NOT NULL"), known, ["h1", "h2"], "n", F.col("vec_id"))
+    others = rows.where("h1 IS NULL").select("h1", "h2", "vec_id", *[F.lit(None).cast("long").alias(c) for c in ("n", "links", "least_id")])
+    out = usable.unionByName(others).select(
         "vec_id",
         F.coalesce(F.coalesce("links", F.lit(0)) + F.col("n") - 1, F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("vec_id").isNotNull(), F.coalesce("least_id", "vec_id")).alias("component_id"),

@@ -275,6 +275,20 @@ def test_shape_follows_the_chance_of_a_miss():
     assert embed_dedup.shape(10**9, 0.9)[0] > embed_dedup.shape(10**4, 0.9)[0]
 
 
+def test_sketches_lose_nothing():
+    """Pairs just above the threshold stay candidates by their sketches, whatever the vectors look like."""
+    draw = np.random.default_rng(9)
+    for dims, spread in ((3, 1), (16, 1), (64, 1), (64, 30), (257, 100)):
+        a = draw.standard_normal((4000, dims)) * np.where(draw.random((4000, dims)) < 0.1, spread, 1)
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b = draw.standard_normal((4000, dims))
+        b -= (a * b).sum(1, keepdims=True) * a
+        b = 0.9001 * a + math.sqrt(1 - 0.9001**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+        form = embed_dedup.hasher(dims, 4, 2)
+        (x, s), (y, t) = embed_dedup.unpacked(form.sketches(a)), embed_dedup.unpacked(form.sketches(b))
+        assert ((x * y).sum(1) >= 0.9 - embed_dedup.SLACK / math.sqrt(12) * np.sqrt(s * s + t * t)).mean() > 0.9995
+
+
 def test_recall_at_the_threshold():
     """Pairs just above 0.9 share a bucket about as often as they should."""
     draw = np.random.default_rng(6)
