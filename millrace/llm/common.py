@@ -53,6 +53,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def stands_for(df: DataFrame, table: DataFrame) -> DataFrame:
+    """df, which reads nothing but a written() table: drop_written(df) deletes that one's files."""
+    _folders[df] = _folders[table]
+    return df
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files behind a written() table that nothing reads any more; other frames have none."""
     if df not in _folders:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, hot_join, written
+from .common import drop_written, hot_join, stands_for, written
 
 #: Edges of a node that one task joins at most, and nodes with more of them at most (else the first number grows).
 HOT_EDGES, HOT_NODES = 1 << 16, 50_000
@@ -47,7 +47,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
     Every step is a minimum by node and a join, so no task holds a component; each round is written in the shared
     folder, and the one before it deleted. Rounds grow with the logarithm of the nodes. Self-loops and repeated
-    edges are dropped; a graph without edges has no rows.
+    edges are dropped; a graph without edges has no rows. drop_written() deletes what the result reads.
     """
     now = written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label)
     state = _state(now)
@@ -62,4 +62,5 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         now, before, state = new, state, _state(new)
         if state == before:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    found = now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return stands_for(found, now)

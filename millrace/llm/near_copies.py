@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, text_hash, text_of, written
+from .common import drop_written, hot_join, map_texts, text_hash, text_of, written
 from .components import components
 from .grouped import blocked, stars, whole_groups
 from .simhash import FEW, bit_counts, kept_of, majority, plan, shingle_hashes
@@ -56,25 +56,10 @@ def keys_of(found: np.ndarray) -> np.ndarray:
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """Edges (u, v) from each class (cls, keys) to the least class that shares a key."""
+    """Edges (u, v) from each class (cls, keys) to the least class that shares a key; keys that many share are split."""
     rows = classes.select("cls", F.explode("keys").alias("key"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, cls = batch.column("key").to_numpy(), batch.column("cls").to_numpy()
-            new = np.append(True, key[1:] != key[:-1])
-            first = cls[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-            if last is not None and last[0] == key[0]:
-                first[: int(np.argmax(new[1:])) + 1 if new[1:].any() else len(key)] = last[1]
-            last = key[-1], first[-1]
-            other = first != cls
-            if other.any():
-                yield pa.RecordBatch.from_arrays([pa.array(cls[other]), pa.array(first[other])], names=["u", "v"])
-
-    return rows.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(run, "u long, v long")
+    shared = written(rows.groupBy("key").agg(F.min("cls").alias("least"), F.count("*").alias("n")).where("n > 1"), "near-copies-keys")
+    return hot_join(rows, shared, ["key"], "n", F.col("cls")).where("cls != least").select(F.col("cls").alias("u"), F.col("least").alias("v"))
 
 
 def similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -172,6 +157,8 @@ def rooted_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, d
 
     sets = written(map_texts(texts, make, "cls long, root long, shingles array<long>").dropDuplicates(["cls"]), "near-copies-sets")
     found = components(links(sets, similarity), "near-copies-components")
+    for old in (classes, grouped, wanted, sets):
+        drop_written(old)
     return marked.join(found, F.col("cls") == F.col("node"), "left").select("doc_id", "text_hash", F.coalesce("root", "cls").alias("root"))
 
 

@@ -36,7 +36,7 @@ from .common import map_texts, text_of, written
 
 GAP, PIECE, PLACED = 0, 1, 2
 #: Shares of a sequence above which pieces are in each round, and the tokens that a block of claims holds.
-LEAST, BLOCK_TOKENS = (1 / 4, 1 / 8, 0), 1 << 27
+LEAST, BLOCK_TOKENS = (1 / 4, 1 / 8, 0), 1 << 24
 
 _STATE = "kind int, size int, key long, doc_id long, piece int, start long, ids_crc32 long, sequence_id long, offset long, range int, upto long"
 _NAMES = [f.split()[0] for f in _STATE.split(", ")]

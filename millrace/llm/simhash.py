@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, map_texts, text_hash, text_of, written
+from .common import drop_written, hot_join, map_texts, text_hash, text_of, written
 from .components import components
 from .grouped import blocked, stars, whole_groups
 
@@ -250,6 +250,8 @@ def near_duplicates(docs: DataFrame, distance: int = 3, id_col: str = "doc_id",
     n, both = bit_counts(classes)
     found = components(links(classes.drop("n"), distance, plan(n, both, distance)), "simhash-components")
     rooted = written(classes.join(found, classes.rep == found.node, "left").select("fp", "n", F.coalesce("root", "rep").alias("component_id")), "simhash-rooted")
+    for old in (classes, found):
+        drop_written(old)
     joined = hot_join(marked, rooted, ["fp"], "n", F.struct("doc_id", "text_hash"), how="left")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
@@ -276,8 +278,10 @@ def kept_of(docs: DataFrame, marked: DataFrame, few: int = FEW) -> DataFrame:
     least = rows.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("k")).select("root", "k.*")
     dropped = written(rows.join(least.select("root", "doc_id", "text_hash"), ["root", "doc_id", "text_hash"], "left_anti").select("doc_id", F.col("text_hash").alias("_text_hash")), "simhash-dropped")
     gone = F.broadcast(dropped) if dropped.count() <= few else dropped.hint("merge")
+    repeated = not least.where("n > 1").isEmpty()
+    drop_written(rows)
     kept = docs.withColumn("_text_hash", text_hash("text")).join(gone, ["doc_id", "_text_hash"], "left_anti")
-    if not least.where("n > 1").isEmpty():
+    if repeated:
         named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "_text_hash"])
         kept = named.unionByName(kept.where("doc_id IS NULL"))
     return kept.select(*docs.columns)
