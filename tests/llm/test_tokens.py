@@ -238,8 +238,7 @@ def brute_best_fit(lengths, capacity):
     return len(gaps)
 
 
-@pytest.mark.parametrize("seed,low,high", [(1, 1, 100), (2, 30, 60), (3, 1, 12), (4, 51, 100), (5, 34, 34), (6, 1, 40)])
-@pytest.mark.parametrize("block", [packing.BLOCK_TOKENS, 3000])
+@pytest.mark.parametrize("seed,low,high,block", [(1, 1, 100, 3000), (2, 30, 60, packing.BLOCK_TOKENS), (3, 1, 12, 3000), (4, 51, 100, packing.BLOCK_TOKENS), (5, 34, 34, packing.BLOCK_TOKENS), (6, 1, 40, packing.BLOCK_TOKENS)])
 def test_packing_is_as_good_as_best_fit(spark, seed, low, high, block):
     draw = random.Random(seed)
     lengths = [draw.randint(low, high) for _ in range(2000)]
