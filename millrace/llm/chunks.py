@@ -16,6 +16,8 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterable
+from itertools import chain, pairwise
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,11 @@ def spaced_chunks(text: str) -> list[str]:
     return _BEFORE_WORD.split(_LINE_END.sub(" " + LINE, text))
 
 
+def strings(array: pa.Array) -> list[str]:
+    """What to_pylist() gives for strings without nulls, by the faster way over an array of objects."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The runs of values that begin at starts and have these sizes, one after the other."""
     ends = np.cumsum(sizes)
@@ -120,14 +127,14 @@ class Encoder:
         simple = parted.is_valid().to_numpy(zero_copy_only=False)
         words, signs = (parted.field(k).filter(parted.is_valid()).dictionary_encode() for k in (0, 1))
         others = distinct.filter(pa.array(~simple))
-        pool = [b"", *self.words.values(words.dictionary.to_pylist(), self._new_words), *self.encode_words(signs.dictionary.to_pylist()), *self.seen.values(others.to_pylist(), self._new_chunks)]
+        pool = [b"", *self.words.values(strings(words.dictionary), self._new_words), *self.encode_words(strings(signs.dictionary)), *self.seen.values(strings(others), self._new_chunks)]
         n_words, n_signs = len(words.dictionary), len(signs.dictionary)
         entry = np.zeros((len(distinct), 2), np.int64)
         entry[simple, 0] = words.indices.to_numpy(zero_copy_only=False) + 1
         entry[simple, 1] = signs.indices.to_numpy(zero_copy_only=False) + 1 + n_words
         entry[~simple, 0] = np.arange(len(others)) + 1 + n_words + n_signs
         if self.spaced:
-            first = self.encode_all(flat.take(pa.array(offsets[:-1])).to_pylist())
+            first = self.encode_all(strings(flat.take(pa.array(offsets[:-1]))))
             chunk[offsets[:-1]] = len(entry) + np.arange(len(cut))
             entry = np.concatenate([entry, np.stack([len(pool) + np.arange(len(cut)), np.zeros(len(cut), np.int64)], 1)])
             pool += first
@@ -164,7 +171,7 @@ _TRIED = {
 }
 
 
-def library_encoder(path: str, kind: str) -> Encoder:
+def library_encoder(path: str, kind: str, most: int = 600_000) -> Encoder:
     """An Encoder by the tokenizers library: its ids without special tokens around a text."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     import regex
@@ -174,11 +181,18 @@ def library_encoder(path: str, kind: str) -> Encoder:
     model, cut = tokenizer.model, regex.compile(MATCHES[kind]).findall
     specials = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
 
+    def written(word: str) -> str:
+        """A match in the alphabet of the library's model, which writes printable ASCII as it is."""
+        if word.isascii() and word.isprintable():
+            return word.replace(" ", _ALPHABET[32])
+        return word.encode().decode("latin-1").translate(_ALPHABET)
+
     def by_model(words: list[str]) -> list[bytes]:
-        found = [[t.id for t in model.tokenize(w.encode().decode("latin-1").translate(_ALPHABET))] if w else [] for w in words]
-        ends = np.cumsum([0, *map(len, found)]).tolist()
-        raw = np.array([i for ids in found for i in ids], "<u4").tobytes()
-        return [raw[4 * i : 4 * j] for i, j in zip(ends, ends[1:])]
+        tokenize, id_of = model.tokenize, attrgetter("id")
+        found = [list(map(id_of, tokenize(written(w)))) if w else [] for w in words]
+        ends = np.cumsum([0, *map(len, found)]) * 4
+        raw = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
+        return [raw[i:j] for i, j in pairwise(ends.tolist())]
 
     def by_matches(chunk: str) -> bytes:
         return b"".join(by_model(cut(chunk if kind == "spaced" else chunk.lower())))
@@ -196,14 +210,14 @@ def library_encoder(path: str, kind: str) -> Encoder:
         other = iter(by_library([c for c, p in zip(chunks, plain) if not p]))
         return [by_matches(c) if p else next(other) for c, p in zip(chunks, plain)]
 
-    return Encoder(kind, by_model if direct else by_library, encode_all, specials)
+    return Encoder(kind, by_model if direct else by_library, encode_all, specials, most)
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
-def shared_encoder(path: str, kind: str) -> Encoder:
+def shared_encoder(path: str, kind: str, most: int = 600_000) -> Encoder:
     """This worker's encoder of a tokenizers file; kind: "spaced" for byte-level ones, "folded" where blanks and case are dropped."""
     if (path, kind) not in _encoders:
-        _encoders[path, kind] = library_encoder(path, kind)
+        _encoders[path, kind] = library_encoder(path, kind, most)
     return _encoders[path, kind]

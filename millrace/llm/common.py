@@ -163,17 +163,19 @@ class Recent:
         self._use()
         out = list(map(self.young.get, want))
         missing = [k for k, value in enumerate(out) if value is None]
-        fresh, new = {}, []
-        for k in missing:
-            value = self.old.get(want[k])
-            if value is None:
-                new.append(k)
-            else:
-                out[k] = fresh[want[k]] = value
-        for k, value in zip(new, make([want[k] for k in new]) if new else (), strict=True):
+        if not missing:
+            return out
+        keys = [want[k] for k in missing]
+        found = list(map(self.old.get, keys))
+        new = [key for key, value in zip(keys, found) if value is None]
+        if new:
+            made = iter(list(make(new)))
+            found = [next(made) if value is None else value for value in found]
+        for k, value in zip(missing, found):
             out[k] = value
-            if len(want[k]) <= self.longest:
-                fresh[want[k]] = value
+        fresh = dict(zip(keys, found))
+        if max(map(len, keys)) > self.longest:
+            fresh = {key: value for key, value in fresh.items() if len(key) <= self.longest}
         if self.young and len(self.young) + len(fresh) > self.most // 2:
             self.old, self.young = self.young, {}
         self.young.update(fresh)

@@ -33,6 +33,9 @@ ORC_OPTIONS = {
     "orc.stripe.size": str(32 << 20),
 }
 
+#: Words that a worker remembers at most: about 200 MB.
+WORDS = 1_000_000
+
 _SCHEMA = "doc_id long, shard int, before long, n_tokens int, ids array<int>"
 _NAMES = ["doc_id", "shard", "before", "n_tokens", "ids"]
 
@@ -47,7 +50,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, kind: str = "spac
         from pyspark import TaskContext
 
         shard, before = TaskContext.get().partitionId(), 0
-        encoder = shared_encoder(tokenizer, kind)
+        encoder = shared_encoder(tokenizer, kind, WORDS)
         for batch in batches:
             for block in blocks(batch):
                 found, ends = ended(*encoder.encode(block.column("text")), end_id)
