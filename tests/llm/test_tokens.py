@@ -50,7 +50,41 @@ UNICODE = st.lists(st.one_of(st.characters(exclude_categories=["Cs"]), st.sample
 @given(st.text(ALPHABET, max_size=60))
 def test_unigram_counts_equal_the_library(unigram, text):
     counter, tokenizer = unigram
-    assert counter.count_texts([text])[0] == [len(tokenizer.encode(text, add_special_tokens=False).ids)]
+    assert counter.count_texts([text, None, "", text + " x"])[0].tolist() == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in (text, "", "", text + " x")]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(ALPHABET.replace(" ", "q").replace("▁", "z"), max_size=30), max_size=12))
+def test_words_together_count_as_alone(unigram, words):
+    counter, _ = unigram
+    marked = [token_counts.BLANK + w for w in words]
+    assert counter.count_words(marked) == [counter.count(w) for w in marked]
+
+
+def test_words_with_signs_are_sums_only_where_that_is_exact(unigram):
+    counter, tokenizer = unigram
+    assert counter.parted
+    for text in ("the. cat, sat!? on$$$ the&&& mat*** ñandú. é; ß: ö? ÿ%%", "a.b .c d.. ..", "ǆ. x. ﬁ, 日本。 日."):
+        assert counter.count_texts([text])[0].tolist() == [len(tokenizer.encode(text, add_special_tokens=False).ids)]
+    signs = [(c, -1.0) for c in token_counts.SIGNS]
+    base = [("<unk>", 0.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("▁", -1.0), *signs]
+    assert token_counts.UnigramCounter(base, 0, False).parted
+    assert not token_counts.UnigramCounter([*base, ("a.", -1.0)], 0, False).parted
+    assert not token_counts.UnigramCounter([*base, ("ba", -1.5)], 0, False).parted
+    assert not token_counts.UnigramCounter(base[:-1], 0, False).parted
+
+
+def test_random_vocabularies_with_ties():
+    """Small integer scores make many ties; words of all lengths, together and alone, against the library."""
+    draw = random.Random(11)
+    for _ in range(30):
+        pieces = list({"".join(draw.choices("abc▁", k=draw.randint(1, 4))) for _ in range(25)})
+        vocabulary = [("<unk>", 0.0), *((p, -float(draw.randint(1, 4))) for p in [*pieces, *token_counts.SIGNS, "..", "!?!"])]
+        tokenizer = Tokenizer(models.Unigram(vocabulary, 0, False))
+        tokenizer.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always")
+        counter = token_counts.UnigramCounter(vocabulary, 0, False)
+        texts = [" ".join("".join(draw.choices("abcd", k=draw.randint(0, 80))) + "".join(draw.choices(".!?", k=draw.randint(0, 4))) for _ in range(draw.randint(1, 6))) for _ in range(20)]
+        assert counter.count_texts(texts)[0].tolist() == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
 def test_unigram_ties_take_the_longer_piece():
