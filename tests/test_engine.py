@@ -261,6 +261,9 @@ def test_facts_stream_and_dimensions_are_built(spark):
         assert first.startswith("  table: lineitem") or name == "join_4way" and first.startswith("  table: orders")
         plan = found.frame._jdf.queryExecution().executedPlan().toString()
         assert "BuildLeft" not in plan
+    # Customers share a nation with many suppliers: they wait for their orders.
+    tables = [line.split()[1] for line in engine.plan(suite.STATEMENTS["join_cycle"]).root.lines() if line.startswith("  table: ")]
+    assert tables.index("orders") < tables.index("customer")
 
 
 def test_or_of_equalities_is_a_union_of_joins(engine):
